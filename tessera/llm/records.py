@@ -180,69 +180,52 @@ def ids_crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-_TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 _SHARDS = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
 _READ = pa.schema([("doc_id", pa.int64()), ("shard", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): the bytes of each document's ids, ``end_id`` last. Ids
-    take two bytes when all fit, else four."""
-    path = resolve(tokenizer)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        end = np.array([end_id], dtype=enc.dtype).tobytes()
-        for b in batches:
-            doc, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for i, j in slices(texts):
-                yield shared.batch(_TOKENS, [doc[i:j], [x + end for x in enc.encode_raw(texts[i:j])]])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
-
-
-def write_records(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, shards: int | None = None, target_rows: int = 256) -> DataFrame:
+def write_records(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, shards: int | None = None) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) and writes them in ascending doc_id order
-    (null last, ties by ids) as record shards in the shared folder. Returns the
-    manifest: shard, path, n_docs, n_tokens, n_bytes. Shards are numbered in
+    (null last, ties by text) as record shards in the shared folder; ``end_id``
+    ends each document, and ids take two bytes when all fit, else four. Returns
+    the manifest: shard, path, n_docs, n_tokens, n_bytes. Shards are numbered in
     order of doc_id; an attempt that was lost leaves a file which no manifest
-    row names. An empty table gives an empty manifest."""
+    row names. Null texts are empty, an empty table gives an empty manifest."""
     spark = docs.sparkSession
-    folder = shared.fresh_folder(spark, "records")
-    wide = "<u2" if encoder(resolve(tokenizer)).dtype.itemsize == 2 else "<u4"
-    if end_id >= 1 << 8 * np.dtype(wide).itemsize:
-        raise ValueError("end_id does not fit the width of the tokenizer's ids")
-    tokens = shared.stage(tokenized(docs, tokenizer, end_id), "tokens")
+    path, folder = resolve(tokenizer), shared.fresh_folder(spark, "records")
     n = shards or shared.spread(spark)
-    ordered = tokens.repartitionByRange(n, F.col("doc_id").asc_nulls_last(), F.xxhash64("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.xxhash64("ids"), "ids")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("h")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
         from pyspark import TaskContext
 
-        shard, out, path = TaskContext.get().partitionId(), None, ""
-        at, docs_n, tokens_n, offsets = 0, 0, 0, []
+        enc, fs, root = encoder(path), *shared.open_fs(folder)
+        end = np.array([end_id], dtype=enc.dtype)
+        shard, out, name = TaskContext.get().partitionId(), None, ""
+        at, n_docs, n_tokens, offsets = 0, 0, 0, []
         for b in batches:
-            ids, doc = b.column(1), b.column(0).to_pylist()
-            for i in range(0, len(doc), target_rows):
+            doc, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            for i, j in slices(texts):
                 if out is None:
-                    fs, root = shared.open_fs(folder)
                     fs.create_dir(root, recursive=True)
-                    path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.rec"
-                    out = fs.open_output_stream(f"{root}/{path.rsplit('/', 1)[1]}")
-                some = [np.frombuffer(x, dtype=wide) for x in ids[i : i + target_rows].to_pylist()]
-                for f in frames([serialize(d, x) for d, x in zip(doc[i : i + target_rows], some)]):
+                    name = f"shard-{shard:06d}-{uuid.uuid4().hex}.rec"
+                    out = fs.open_output_stream(f"{root}/{name}")
+                some = [np.append(x, end) for x in enc.encode(texts[i:j])]
+                for f in frames([serialize(d, x) for d, x in zip(doc[i:j], some)]):
                     offsets.append(at)
                     at += len(f)
                     out.write(f)
-                docs_n += len(some)
-                tokens_n += sum(map(len, some))
+                n_docs += len(some)
+                n_tokens += sum(map(len, some))
         if out is not None:
             out.close()
-            with fs.open_output_stream(f"{root}/{path.rsplit('/', 1)[1]}.idx") as idx:
+            with fs.open_output_stream(f"{root}/{name}.idx") as idx:
                 idx.write(np.array([*offsets, at], dtype="<u8").tobytes())
-            yield shared.batch(_SHARDS, [[shard], [path], [docs_n], [tokens_n], [at]])
+            yield shared.batch(_SHARDS, [[shard], [f"{folder}/{name}"], [n_docs], [n_tokens], [at]])
 
     return shared.stage(ordered.mapInArrow(write, "shard long, path string, n_docs long, n_tokens long, n_bytes long"), "manifest")
 

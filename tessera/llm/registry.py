@@ -4,12 +4,21 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import records
+    from . import covertree, langid, mixing, ogg, packing, records, toxicity, warc
 
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op2_warc": warc.op2_warc,
+        "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op5_ogg": ogg.op5_ogg,
+        "op6_mixing": mixing.op6_mixing,
+        "op8_dual_tree": covertree.op8_dual_tree,
         "op9_binary_records": records.op9_binary_records,
+        "op10_ppm_language": langid.op10_ppm_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import covertree, warc
+
+    return {"op2_warc": warc.OP2_SQL, "op8_dual_tree": covertree.OP8_SQL}

@@ -10,6 +10,7 @@ not known to allow such cuts is simply run on whole texts.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from itertools import repeat
@@ -18,7 +19,8 @@ import numpy as np
 
 _SPACE_BEFORE_WORD = re.compile(r" (?=\S)")
 _LOOSE_SPACE = re.compile(r" (?!\S)")
-_LATIN_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_LATIN, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[!-&(-/:-@\\[-`{-~]*"
+_LATIN_THEN_MARKS = re.compile(f"({_LATIN})({_MARKS})(?:(\n{_LATIN})({_MARKS}))?\x1f|[^\x1f]*\x1f")
 _INFO_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 #: The split pattern of the word-end vocabulary.
@@ -37,7 +39,7 @@ def resolve(path_or_name: str) -> str:
 class ChunkEncoder:
     """Encodes texts to id arrays; remembers about ``limit`` chunks."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         path = resolve(path)
@@ -95,49 +97,57 @@ class ChunkEncoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """Remembers new chunks. Latin letters with a tail of punctuation are
-        two pieces to either pre-tokenizer, so the letters are encoded once."""
-        simple, rest, stems = [], [], set()
-        older = self.older
-        for c in chunks:
-            if c in older:
-                self.memo[c] = older[c]
-            elif m := _LATIN_THEN_MARKS.fullmatch(c):
-                stem, marks = m.groups()
-                if self.mode == "word":
-                    stem = stem.lower()
-                simple.append((c, stem, marks))
-                stems.add(stem)
-            else:
-                rest.append(c)
-        new = list(stems - self.stems.keys())
-        if len(self.stems) + len(new) > self.limit:
-            self.stems.clear()
-            new = list(stems)
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            ids = self._ids(" " + " ".join(some))
+        two pieces to either pre-tokenizer, and a single line break within such
+        a chunk is a piece of its own, so each word is encoded once."""
+        if self.older:
+            known = list(map(self.older.get, chunks))
+            self.memo.update((c, x) for c, x in zip(chunks, known) if x is not None)
+            chunks = [c for c, x in zip(chunks, known) if x is None]
+        joined = "\x1f".join(chunks) + "\x1f"
+        if joined.count("\x1f") != len(chunks):
+            return self._joined(chunks)
+        found = _LATIN_THEN_MARKS.findall(joined.lower() if self.mode == "word" else joined)
+        stems, tails = self.stems, self.tails
+        if len(stems) > self.limit:
+            stems.clear()
+        self._stems({t[0] for t in found} - stems.keys(), " ")
+        self._stems({t[2] for t in found} - stems.keys(), "")
+        if len(tails) > self.limit:
+            tails.clear()
+        for marks in {m for t in found for m in (t[1], t[3])} - tails.keys():
+            tails[marks] = self._whole(marks)
+        stems[""] = b""
+        self.memo.update(zip(chunks, [stems[a] + tails[b] + stems[c] + tails[d] if a else None for a, b, c, d in found]))
+        if rest := [c for c, t in zip(chunks, found) if not t[0]]:
+            self._joined(rest)
+
+    def _stems(self, new: set[str], before: str) -> None:
+        """Encodes words, each with a space or a line break before it."""
+        new.discard("")
+        words = list(new)
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            ids = self._ids(before + before.join(some))
             if self.mode == "byte":
-                ends = np.cumsum([len(c.encode()) + 1 for c in some])
+                ends = np.cumsum([len(c.encode()) + len(before) for c in some])
                 cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends, side="left") + 1
             else:
                 cuts = np.flatnonzero(self.ends_word[ids]) + 1
             self._keep(self.stems, some, ids, cuts)
-        for c, stem, marks in simple:
-            ids = self.stems[stem]
-            if marks:
-                if (tail := self.tails.get(marks)) is None:
-                    tail = self._whole(marks)
-                    if len(self.tails) < self.limit:
-                        self.tails[marks] = tail
-                ids += tail
-            self.memo[c] = ids
-        if rest:
-            self._joined(rest)
 
     def encode_raw(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of :attr:`dtype`."""
         if self.mode == "whole":
             return [self._whole(t) for t in texts]
+        collects = gc.isenabled()
+        gc.disable()  # millions of small lists without cycles
+        try:
+            return self._encode_raw(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode_raw(self, texts: list[str]) -> list[bytes]:
         heads, parts, found, odd, new = [b""] * len(texts), [], [], {}, set()
         if len(self.memo) > self.limit:
             self.older, self.memo = self.memo, {}
