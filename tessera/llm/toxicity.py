@@ -17,6 +17,7 @@ nothing to learn from every score is the prior 0.5 ** 10.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,7 +58,7 @@ def features(text: str | None, bits: int) -> np.ndarray:
 class Ftrl:
     """FTRL-proximal for logistic loss over binary features."""
 
-    def __init__(self, bits: int = 20, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0):
+    def __init__(self, bits: int = 20, alpha: float = 2.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.0):
         self.bits, self.alpha, self.beta, self.l1, self.l2 = bits, alpha, beta, l1, l2
         self.z, self.n = np.zeros(1 << bits), np.zeros(1 << bits)
         self.bias_z, self.bias_n = 0.0, 0.0
@@ -90,24 +91,24 @@ class Ftrl:
 _SAMPLE = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("buckets", pa.binary())])
 
 
-def train(labelled: DataFrame, train_rows: int = 8000, passes: int = 3, bits: int = 20, seed: int = 3, **rates) -> tuple[int, float, np.ndarray, np.ndarray]:
-    """A model from ``labelled`` (doc_id, text, label 0 or 1): a hash sample of
-    about ``train_rows`` rows becomes bucket lists on the executors, and the
-    driver runs over these a few times, in an order fixed by the seed."""
+def train(labelled: DataFrame, updates: int = 64_000, bits: int = 20, seed: int = 3, **rates) -> tuple[int, float, np.ndarray, np.ndarray]:
+    """A model from the bounded sample ``labelled`` (doc_id, text, label 0 or 1),
+    which becomes bucket lists on the executors. The driver goes over these 4 to
+    20 times, for about ``updates`` updates, in an order fixed by the seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield shared.batch(_SAMPLE, [b.column(0), b.column(1), [np.unique(features(t.as_py(), bits)).astype("<i4").tobytes() for t in b.column(2)]])
 
-    got = labelled.select(F.col("doc_id").cast("long"), F.col("label").cast("int"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, label int, buckets binary").collect()
-    got.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r[0]), seed), r[2], r[1]))
-    learner = Ftrl(bits, **rates)
-    if not got:
+    got = labelled.select(F.col("doc_id").cast("long"), F.col("label").cast("int"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, label int, buckets binary").toArrow()
+    if not got.num_rows:
         return bits, -10 * float(np.log(2)), np.zeros(0, np.int32), np.zeros(0)
-    rows = [(r[1], np.frombuffer(r[2], dtype="<i4")) for r in got]
-    for _ in range(passes):
-        for label, buckets in rows:
-            learner.update(buckets, label)
+    ids, labels, buckets = got["doc_id"].to_pylist(), got["label"].to_pylist(), got["buckets"]
+    order = sorted(range(len(ids)), key=lambda i: (xxhash.xxh64_intdigest(str(ids[i]), seed), labels[i], zlib.crc32(buckets[i].as_buffer())))
+    learner = Ftrl(bits, **rates)
+    for _ in range(min(20, max(4, updates // len(order)))):
+        for i in order:
+            learner.update(np.frombuffer(buckets[i].as_buffer(), dtype="<i4"), labels[i])
     return learner.model()
 
 
@@ -149,6 +150,6 @@ def score(docs: DataFrame, model: tuple[int, float, np.ndarray, np.ndarray]) ->
     return docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def op1_toxicity(spark: SparkSession, sf_dir: str, train_rows: int = 8000) -> DataFrame:
+def op1_toxicity(spark: SparkSession, sf_dir: str, train_rows: int = 16_000) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents")
     return score(docs, train(labelled_sample(docs, shared.table(spark, sf_dir, "labels"), train_rows)))
