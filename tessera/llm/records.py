@@ -1,8 +1,9 @@
 """Token-ID / binary output: length-delimited records with an offset index.
 
-A shard is a run of frames, each laid out as in the TFRecord container::
+A shard is a run of frames, laid out like those of a TFRecord file, but with the
+CRC-32 of ``zlib`` as checksum::
 
-    uint64 length | uint32 masked crc32c(length) | data | uint32 masked crc32c(data)
+    uint64 length | uint32 masked crc32(length) | data | uint32 masked crc32(data)
 
 ``data`` is one serialized sequence: flags (1 byte; bit 0: doc_id is null, bit 1:
 ids take 4 bytes instead of 2), doc_id as int64, then the ids, all little-endian.
@@ -25,144 +26,47 @@ from pyspark.sql import functions as F
 from . import shared
 from .tokens import encoder, resolve, slices
 
-#: Fixed values of the checksum: reversed Castagnoli polynomial, mask constant.
-_POLYNOMIAL = 0x82F63B78
+#: Fixed value: what a masked checksum is shifted by.
 _MASK_DELTA = 0xA282EAD8
 
 _HEAD = struct.Struct("<BQ")
-_BLOCK = 512
-
-
-def _tables() -> np.ndarray:
-    """Eight tables for advancing the checksum by eight bytes at a time."""
-    t = np.zeros((8, 256), dtype=np.uint32)
-    for i in range(256):
-        c = i
-        for _ in range(8):
-            c = (c >> 1) ^ (_POLYNOMIAL if c & 1 else 0)
-        t[0, i] = c
-    for k in range(1, 8):
-        t[k] = (t[k - 1] >> np.uint32(8)) ^ t[0][t[k - 1] & np.uint32(255)]
-    return t
-
-
-_T = _tables()
-
-
-def _advance(crc: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Raw checksums after eight more bytes each; words: (n, 8) bytes."""
-    w = words.copy()
-    w[:, :4] ^= crc.astype("<u4")[:, None].view(np.uint8).reshape(-1, 4)
-    out = _T[7][w[:, 0]]
-    for k in range(1, 8):
-        out = out ^ _T[7 - k][w[:, k]]
-    return out
-
-
-def _zeros_operator(n: int) -> np.ndarray:
-    """Four tables that carry a raw checksum over ``n`` zero bytes (n % 8 == 0)."""
-    basis = (np.uint32(1) << np.arange(32, dtype=np.uint32)).astype(np.uint32)
-    zero = np.zeros((32, 8), dtype=np.uint8)
-    for _ in range(n // 8):
-        basis = _advance(basis, zero)
-    tables = np.zeros((4, 256), dtype=np.uint32)
-    for byte in range(4):
-        for bit in range(8):
-            values = (np.arange(256) >> bit & 1).astype(bool)
-            tables[byte, values] ^= basis[byte * 8 + bit]
-    return tables
-
-
-_SKIP = _zeros_operator(_BLOCK)
-
-
-def crc32c(parts: list[bytes]) -> np.ndarray:
-    """CRC-32C of many byte strings at once. Blocks of 512 bytes are summed
-    side by side from a zero register, then chained through the operator that
-    carries a register over a block of zeros."""
-    n = len(parts)
-    lengths = np.fromiter(map(len, parts), dtype=np.int64, count=n)
-    blocks = np.maximum(1, -(-lengths // _BLOCK))
-    # Leading zeros leave a zero register unchanged, so each part is padded in front.
-    pad = blocks * _BLOCK - lengths
-    data = np.zeros(int((blocks * _BLOCK).sum()), dtype=np.uint8)
-    starts = np.concatenate(([0], np.cumsum(blocks * _BLOCK)[:-1]))
-    for p, s, q, k in zip(parts, starts.tolist(), pad.tolist(), lengths.tolist()):
-        data[s + q : s + q + k] = np.frombuffer(p, dtype=np.uint8)
-    rows = data.reshape(-1, _BLOCK)
-    raw = np.zeros(len(rows), dtype=np.uint32)
-    for at in range(0, _BLOCK, 8):
-        raw = _advance(raw, rows[:, at : at + 8])
-    first = np.concatenate(([0], np.cumsum(blocks)[:-1]))
-    out = raw[first]
-    order = np.argsort(-blocks, kind="stable")
-    for step in range(1, int(blocks.max()) if n else 0):
-        live = order[: int(np.searchsorted(-blocks[order], -step, side="left"))]
-        c = out[live]
-        out[live] = _SKIP[0][c & 255] ^ _SKIP[1][c >> 8 & 255] ^ _SKIP[2][c >> 16 & 255] ^ _SKIP[3][c >> 24] ^ raw[first[live] + step]
-    # A register that starts with ones equals the sum of both halves, as the checksum is linear.
-    return out ^ _ones(lengths) ^ np.uint32(0xFFFFFFFF)
-
-
-def _ones(lengths: np.ndarray) -> np.ndarray:
-    """What a register of ones becomes over so many zero bytes."""
-    out = np.full(len(lengths), 0xFFFFFFFF, dtype=np.uint32)
-    left = lengths.copy()
-    for bit, tables in enumerate(_POWERS):
-        some = (left >> bit & 1).astype(bool)
-        if some.any():
-            c = out[some]
-            out[some] = tables[0][c & 255] ^ tables[1][c >> 8 & 255] ^ tables[2][c >> 16 & 255] ^ tables[3][c >> 24]
-    return out
-
-
-def _apply(tables: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return tables[0][c & 255] ^ tables[1][c >> 8 & 255] ^ tables[2][c >> 16 & 255] ^ tables[3][c >> 24]
-
-
-def _powers() -> list[np.ndarray]:
-    """Operators for 1, 2, 4, ... zero bytes, by squaring."""
-    basis = (np.uint32(1) << np.arange(32, dtype=np.uint32)).astype(np.uint32)
-    basis = (basis >> np.uint32(8)) ^ _T[0][basis & np.uint32(255)]
-    out = []
-    for _ in range(40):
-        tables = np.zeros((4, 256), dtype=np.uint32)
-        for byte in range(4):
-            for bit in range(8):
-                tables[byte, (np.arange(256) >> bit & 1).astype(bool)] ^= basis[byte * 8 + bit]
-        out.append(tables)
-        basis = _apply(tables, basis)
-    return out
-
-
-_POWERS = _powers()
-
-
-def masked(crc: np.ndarray) -> np.ndarray:
-    c = crc.astype(np.uint64)
-    return (((c >> np.uint64(15) | c << np.uint64(17)) & np.uint64(0xFFFFFFFF)) + np.uint64(_MASK_DELTA) & np.uint64(0xFFFFFFFF)).astype("<u4")
-
-
-def frames(payloads: list[bytes]) -> list[bytes]:
-    """Each payload within its lengths and checksums."""
-    heads = [struct.pack("<Q", len(p)) for p in payloads]
-    a, b = masked(crc32c(heads)), masked(crc32c(payloads))
-    return [b"".join((h, x.tobytes(), p, y.tobytes())) for h, x, p, y in zip(heads, a, payloads, b)]
-
-
-def unframe(raw: bytes, offsets: np.ndarray) -> list[bytes]:
-    """The payloads of frames at ``offsets`` (the last entry ends the last
-    frame) of ``raw``; raises ValueError where a checksum or length is wrong."""
-    cut = offsets.tolist()
-    heads = [raw[a : a + 8] for a in cut[:-1]]
-    payloads = [raw[a + 12 : b - 4] for a, b in zip(cut, cut[1:])]
-    a = np.array([struct.unpack_from("<I", raw, x + 8)[0] for x in cut[:-1]], dtype=np.uint32)
-    b = np.array([struct.unpack_from("<I", raw, x - 4)[0] for x in cut[1:]], dtype=np.uint32)
-    if any(struct.unpack("<Q", h)[0] != len(p) for h, p in zip(heads, payloads)):
-        raise ValueError("a frame's length does not agree with the index")
-    if (masked(crc32c(heads)) != a).any() or (masked(crc32c(payloads)) != b).any():
+_LENGTH = struct.Struct("<QI")
+
+
+def masked(data: bytes) -> int:
+    """CRC-32, rotated and shifted, so that checksums of data that hold
+    checksums stay useful."""
+    c = zlib.crc32(data)
+    return ((c >> 15 | c << 17) + _MASK_DELTA) & 0xFFFFFFFF
+
+
+def frame(payload: bytes) -> bytes:
+    """A payload within its lengths and checksums."""
+    n = len(payload)
+    return b"".join((_LENGTH.pack(n, masked(n.to_bytes(8, "little"))), payload, masked(payload).to_bytes(4, "little")))
+
+
+def unframe(raw: bytes, at: int = 0) -> tuple[bytes, int]:
+    """The payload of the frame at ``at`` and where the next begins; raises
+    ValueError where a checksum or a length is wrong."""
+    if len(raw) < at + 16:
+        raise ValueError("a frame is cut off")
+    n, check = _LENGTH.unpack_from(raw, at)
+    if masked(raw[at : at + 8]) != check or len(raw) < at + 16 + n:
+        raise ValueError("a frame's length fails its checksum")
+    payload, end = raw[at + 12 : at + 12 + n], at + 16 + n
+    if masked(payload) != int.from_bytes(raw[end - 4 : end], "little"):
         raise ValueError("a frame fails its checksum")
-    return payloads
+    return payload, end
+
+
+def unframe_all(raw: bytes, offsets: list[int]) -> Iterator[bytes]:
+    """The payloads of frames at ``offsets``; the last entry ends the last frame."""
+    for a, b in zip(offsets, offsets[1:]):
+        payload, end = unframe(raw, a)
+        if end != b:
+            raise ValueError("a frame does not agree with the index")
+        yield payload
 
 
 def serialize(doc_id: int | None, ids: np.ndarray) -> bytes:
@@ -215,10 +119,9 @@ def write_records(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
                     name = f"shard-{shard:06d}-{uuid.uuid4().hex}.rec"
                     out = fs.open_output_stream(f"{root}/{name}")
                 some = [np.append(x, end) for x in enc.encode(texts[i:j])]
-                for f in frames([serialize(d, x) for d, x in zip(doc[i:j], some)]):
+                for d, x in zip(doc[i:j], some):
                     offsets.append(at)
-                    at += len(f)
-                    out.write(f)
+                    at += out.write(frame(serialize(d, x)))
                 n_docs += len(some)
                 n_tokens += sum(map(len, some))
         if out is not None:
@@ -238,7 +141,7 @@ def read_one(path: str, record: int) -> tuple[int | None, np.ndarray]:
         a, b = np.frombuffer(idx.read(16), dtype="<u8").tolist()
     with fs.open_input_file(p) as f:
         f.seek(a)
-        return deserialize(unframe(f.read(b - a), np.array([0, b - a]))[0])
+        return deserialize(unframe(f.read(b - a))[0])
 
 
 def read_records(manifest: DataFrame, chunk_bytes: int = 4 << 20) -> DataFrame:
@@ -257,7 +160,7 @@ def read_records(manifest: DataFrame, chunk_bytes: int = 4 << 20) -> DataFrame:
                     i = start = 0
                     while i < len(offsets) - 1:
                         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + chunk_bytes, side="right")) - 1)
-                        some = [deserialize(x) for x in unframe(f.read(int(offsets[j] - offsets[i])), offsets[i : j + 1] - offsets[i])]
+                        some = [deserialize(x) for x in unframe_all(f.read(int(offsets[j] - offsets[i])), (offsets[i : j + 1] - offsets[i]).tolist())]
                         sizes = np.array([len(x) for _, x in some], dtype=np.int64)
                         starts = start + np.cumsum(sizes) - sizes
                         yield shared.batch(_READ, [[d for d, _ in some], [shard] * len(some), pa.array(starts), pa.array(sizes), [ids_crc32(x) for _, x in some], pa.array(offsets[i:j])])

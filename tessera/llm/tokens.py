@@ -18,7 +18,6 @@ from itertools import repeat
 import numpy as np
 
 _SPACE_BEFORE_WORD = re.compile(r" (?=\S)")
-_LOOSE_SPACE = re.compile(r" (?!\S)")
 _LATIN, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[!-&(-/:-@\\[-`{-~]*"
 _LATIN_THEN_MARKS = re.compile(f"({_LATIN})({_MARKS})(?:(\n{_LATIN})({_MARKS}))?\x1f|[^\x1f]*\x1f")
 _INFO_SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -39,7 +38,7 @@ def resolve(path_or_name: str) -> str:
 class ChunkEncoder:
     """Encodes texts to id arrays; remembers about ``limit`` chunks."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         path = resolve(path)
@@ -52,6 +51,7 @@ class ChunkEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was known before memo was last begun anew
+        self.heads: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.mode = "whole"
@@ -110,14 +110,14 @@ class ChunkEncoder:
         stems, tails = self.stems, self.tails
         if len(stems) > self.limit:
             stems.clear()
-        self._stems({t[0] for t in found} - stems.keys(), " ")
-        self._stems({t[2] for t in found} - stems.keys(), "")
+        self._stems({t[0] for t in found if t[0] not in stems}, " ")
+        self._stems({t[2] for t in found if t[2] not in stems}, "")
         if len(tails) > self.limit:
             tails.clear()
-        for marks in {m for t in found for m in (t[1], t[3])} - tails.keys():
+        for marks in {m for t in found for m in (t[1], t[3]) if m not in tails}:
             tails[marks] = self._whole(marks)
         stems[""] = b""
-        self.memo.update(zip(chunks, [stems[a] + tails[b] + stems[c] + tails[d] if a else None for a, b, c, d in found]))
+        self.memo.update(zip(chunks, [(stems[a] + tails[b] + stems[c] + tails[d] if c else stems[a] + tails[b]) if a else None for a, b, c, d in found]))
         if rest := [c for c, t in zip(chunks, found) if not t[0]]:
             self._joined(rest)
 
@@ -148,10 +148,10 @@ class ChunkEncoder:
                 gc.enable()
 
     def _encode_raw(self, texts: list[str]) -> list[bytes]:
-        heads, parts, found, odd, new = [b""] * len(texts), [], [], {}, set()
+        heads, parts, found, gaps, odd, new = [b""] * len(texts), [], [], [], {}, set()
         if len(self.memo) > self.limit:
             self.older, self.memo = self.memo, {}
-        get = self.memo.get
+        get, loose = self.memo.get, self.loose
         for i, t in enumerate(texts):
             if self.mode == "word":
                 if _INFO_SEPARATORS.search(t):
@@ -160,23 +160,52 @@ class ChunkEncoder:
                 else:
                     p = t.split()
             else:
-                p = _SPACE_BEFORE_WORD.split(t) if _LOOSE_SPACE.search(t) else t.split(" ")
-                if head := p.pop(0):
-                    heads[i] = self._whole(head)
-            ids = list(map(get, p))
-            if None in ids:
-                new.update(c for c, x in zip(p, ids) if x is None)
+                p = t.split(" ")
+                heads[i] = self._head(p.pop(0))
+            ids, gap = self._look(p, get)
+            if gap and self.mode == "byte" and any(loose(p[k]) for k in gap):
+                p = _SPACE_BEFORE_WORD.split(t)
+                heads[i] = self._head(p.pop(0))
+                ids, gap = self._look(p, get)
+            new.update([p[k] for k in gap])
             parts.append(p)
             found.append(ids)
+            gaps.append(gap)
         if new:
             self._learn(list(new))
         memo, out = self.memo, []
-        for i, (p, ids) in enumerate(zip(parts, found)):
-            if None in ids:
-                ids = [memo[c] if x is None else x for c, x in zip(p, ids)]
+        for i, (p, ids, gap) in enumerate(zip(parts, found, gaps)):
+            for k in gap:
+                ids[k] = memo[p[k]]
             out.append(odd[i] if i in odd else heads[i] + b"".join(ids))
         return out
 
+    @staticmethod
+    def loose(chunk: str) -> bool:
+        """Whether the space before this chunk is followed by white space (or
+        nothing), where the pre-tokenizer does not cut."""
+        return not chunk or chunk[0].isspace()
+
+    @staticmethod
+    def _look(p: list[str], get) -> tuple[list, list[int]]:
+        """The known ids of chunks, and the places of those not known."""
+        ids, gap, at = list(map(get, p)), [], -1
+        try:
+            while True:
+                at = ids.index(None, at + 1)
+                gap.append(at)
+        except ValueError:
+            return ids, gap
+
+    def _head(self, head: str) -> bytes:
+        if (ids := self.heads.get(head)) is None:
+            ids = self._whole(head)
+            if len(head) < 100:
+                if len(self.heads) > self.limit // 10:
+                    self.heads.clear()
+                self.heads[head] = ids
+        return ids
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(x, dtype=d) for x, d in zip(self.encode_raw(texts), repeat(self.dtype))]
 
