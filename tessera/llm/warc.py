@@ -81,6 +81,7 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("key", F.unhex(F.sha2("payload", 256)))
     again = rows.filter(F.length("payload") >= min_bytes).groupBy("key").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = shared.stage(again, "copies")  # its size is then known: small ones need no shuffle of the pages
     return rows.join(again, "key", "left").select("page_id", "url", "payload", "first_id", (F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))).alias("revisit"))
 
 
