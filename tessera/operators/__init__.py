@@ -1,0 +1,9 @@
+"""Relational operators over DataFrames."""
+
+from .aggregates import Aggregate, aggregate
+from .basic import constants, filter_rows, limit, project, sort, sort_key, top_n
+from .joins import KINDS, cross, join, mark_join, single_join
+from .partition import gather, hash_split
+from .transfer import DynamicFilter, build, chain, filtered_join, runtime_bloom, transfer
+
+__all__ = ["KINDS", "Aggregate", "DynamicFilter", "aggregate", "build", "chain", "constants", "cross", "filter_rows", "filtered_join", "gather", "hash_split", "join", "limit", "mark_join", "project", "runtime_bloom", "single_join", "sort", "sort_key", "top_n", "transfer"]
