@@ -299,7 +299,7 @@ def _by_digest(bodies: DataFrame, width: int) -> DataFrame:
     return strings.join(again, ["a", "b"], "left_semi").select("fp", "dig", "len", F.col("at").alias("lo"), (F.col("at") + width).cast("int").alias("hi"))
 
 
-def covered(texts: DataFrame, width: int = 400, gram: int = 32, batch_bytes: int = 1 << 20, hash_bytes: int = 1 << 18) -> DataFrame:
+def covered(texts: DataFrame, width: int = 400, gram: int = 32, batch_bytes: int = 1 << 19, hash_bytes: int = 3 << 20) -> DataFrame:
     """(key, spans) for those of ``texts`` (key, raw; equal keys, equal bytes) that
     hold strings which start elsewhere too; spans may overlap or touch."""
     found = shared.stage(_all_segments(texts, width, gram), "segments")
