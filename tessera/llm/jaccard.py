@@ -119,14 +119,32 @@ def signatures(texts: DataFrame, forest: Forest) -> DataFrame:
     return texts.select("key", "text").mapInArrow(run, "key binary, prefixes array<long>")
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
+def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, shingles) for the keys of ``wanted``. A bitmap of fixed size keeps
+    most other texts from being looked at, and only sets are shuffled."""
+    bitmap = texts.sparkSession.sparkContext.broadcast(shared.key_bitmap(wanted))  # 8 MB
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in batches:
-            keys = b.column(0).to_pylist()
-            for i in range(0, len(keys), 200):
-                yield shared.batch(_SETS, [keys[i : i + 200], [shingles(t.as_py()).tobytes() for t in b.column(1)[i : i + 200]]])
+            keys, out, size = [], [], 0
+            for i in shared.in_bitmap(bitmap.value, b.column(0).to_pylist()).nonzero()[0].tolist():
+                key = b.column(0)[i].as_py()
+                if key in seen:
+                    continue
+                if len(seen) < 500_000:
+                    seen.add(key)
+                keys.append(key)
+                out.append(shingles(b.column(1)[i].as_py()).tobytes())
+                size += len(out[-1])
+                if size > 4 << 20:
+                    yield shared.batch(_SETS, [keys, out])
+                    keys, out, size = [], [], 0
+            if keys:
+                yield shared.batch(_SETS, [keys, out])
 
-    return texts.select("key", "text").mapInArrow(run, "key binary, shingles binary")
+    sets = texts.select("key", "text").mapInArrow(run, "key binary, shingles binary")
+    return sets.join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
 
 def similar(sets: list[np.ndarray], pairs: np.ndarray, threshold: float) -> np.ndarray:
@@ -205,7 +223,7 @@ def _verify_group(keys: list[bytes], sets: list[np.ndarray], prefixes: np.ndarra
             out.append((keys[r], keys[x], None))
 
 
-def text_links(texts: DataFrame, threshold: float = 0.8, trees: int = 20, max_depth: int = 8, target: float = 0.9995, block: int = 64) -> DataFrame:
+def text_links(texts: DataFrame, threshold: float = 0.8, trees: int = 20, max_depth: int = 8, target: float = 0.9995, block: int = 256) -> DataFrame:
     """Verified links between different texts of ``texts`` (key, text; equal
     keys, equal texts): rows (a, b, null) whose graph has the same components as
     all links, and rows (a, null, n) whose n add up to a's number of links."""
@@ -216,11 +234,10 @@ def text_links(texts: DataFrame, threshold: float = 0.8, trees: int = 20, max_de
     nodes = met.groupBy("bucket").agg(F.min("tree").alias("tree"), F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("members")).filter("n > 1")
     nodes = shared.stage(nodes.groupBy("n", "members").agg(F.min_by("bucket", "tree").alias("bucket"), F.min("tree").alias("tree")).drop("members"), "nodes")
     held = shared.stage(met.drop("tree").join(nodes, "bucket"), "members")
-    wanted = held.select("key").distinct()
-    some = texts.join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    sets = shared.stage(shingle_sets(some), "shingles").join(signed, "key")
-    # Blocks of a large node: up to 16, then as many as hold 1024 texts each.
-    blocks = F.ceil(F.col("n") / F.greatest(F.lit(block), F.least(F.lit(1024), F.ceil(F.col("n") / 16)))).cast("int")
+    wanted = shared.stage(held.select("key").distinct(), "wanted")
+    sets = shared.stage(shingle_sets(texts, wanted), "shingles").join(signed, "key")
+    # Blocks of a large node: up to 8, then as many as hold 1024 texts each.
+    blocks = F.ceil(F.col("n") / F.greatest(F.lit(block), F.least(F.lit(1024), F.ceil(F.col("n") / 8)))).cast("int")
     part = F.pmod(F.xxhash64("bucket", "key"), F.col("blocks")).cast("int")
     dealt = held.withColumn("blocks", blocks).withColumn("part", part).select("key", "bucket", "tree", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", "bucket", "tree", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
@@ -251,13 +268,14 @@ def text_links(texts: DataFrame, threshold: float = 0.8, trees: int = 20, max_de
     return shared.stage(rows.mapInArrow(run, "a binary, b binary, n long"), "links")
 
 
-def classes(docs: DataFrame, **options) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, optional rid): doc_id, rid,
+def classes(docs: DataFrame, rid: str | None = None, **options) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text; ``rid`` names a column that tells
+    rows apart): doc_id, rid,
     class_id (the smallest doc_id among the texts linked to it directly or
     through others), copy_of (the smallest doc_id with this very text), n_links
     (how many other texts are similar to it), first (whether this row stands
     for its class; ties by rid)."""
-    rid = F.col("rid") if "rid" in docs.columns else F.monotonically_increasing_id().alias("rid")
+    rid = F.monotonically_increasing_id().alias("rid") if rid is None else F.col(rid).alias("rid")
     texts = docs.select(shared.text_key().alias("key"), F.col("text").cast("string").alias("text"))
     rows = shared.stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), rid, shared.text_key().alias("key")), "rows")
     links = text_links(texts, **options)

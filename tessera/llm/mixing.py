@@ -107,12 +107,12 @@ def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(epochs=epochs, k=[take.get(s, 0) for s in pdf["size"].tolist()])
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, share: float = 1.0, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, share: float = 1.0, seed: int = 17, rid: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, repeats, taken, rid: how often the
-    mix takes each document of ``docs`` (doc_id, source, text; an optional
-    column ``rid`` identifies rows)."""
+    mix takes each document of ``docs`` (doc_id, source, text; ``rid`` names a
+    column that tells rows apart, else rid is null)."""
     spark = docs.sparkSession
-    rid = F.col("rid") if "rid" in docs.columns else F.lit(None).cast("long").alias("rid")
+    rid = F.lit(None).cast("long").alias("rid") if rid is None else F.col(rid).alias("rid")
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),

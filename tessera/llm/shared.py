@@ -75,3 +75,25 @@ def text_key(text="text"):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def key_bitmap(keys: DataFrame, bits: int = 26):
+    """A bitmap over the leading bits of 16-byte ``key`` values, of 2 ** bits bits
+    however many keys there are. It only spares work: what passes it is still
+    compared with the keys themselves."""
+    import numpy as np
+
+    at = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << bits) - 1)
+    words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("set"))
+    out = np.zeros(1 << bits - 6, dtype=np.uint64)
+    got = words.toArrow()  # at most 2 ** (bits - 6) rows
+    out[got["word"].to_numpy()] = got["set"].to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def in_bitmap(bitmap, keys: list[bytes]):
+    """Which 16-byte keys may be in a bitmap."""
+    import numpy as np
+
+    at = np.frombuffer(b"".join(k[:4] for k in keys), dtype=">u4").astype(np.uint64) & np.uint64(len(bitmap) * 64 - 1)
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)

@@ -30,7 +30,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keeps one row of each group of near duplicates: that with the smallest
     doc_id (null last, ties by position)."""
     docs = shared.stage(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
-    found = jaccard.classes(docs.select("doc_id", "text", F.col("__rid").alias("rid")))
+    found = jaccard.classes(docs, rid="__rid")
     keep = found.filter("first").select(F.col("rid").alias("__keep"))
     return docs.join(keep, F.col("__rid") == F.col("__keep"), "left_semi").drop("__rid")
 
@@ -40,7 +40,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int =
     a byte goes is dropped whole; n_chars follows the text. Rows stay, with
     unchanged texts where nothing is marked, and so do null texts."""
     spans = shared.stage(suffix.covered(suffix.keyed(docs).select("key", "raw"), width=width), "spans")
-    rows = docs.withColumn("__key", shared.text_key()).join(spans.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+    rows = docs.withColumn("__key", shared.text_key()).join(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left").drop("__key")
     at, schema = docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,14 +52,14 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int =
             columns = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(schema))]
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[: len(schema)])
 
-    out = rows.select(*docs.columns, "spans").mapInArrow(run, schema)
+    out = rows.select(*docs.columns, "__spans").mapInArrow(run, schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each row as often as the mix does: not at all, or up to three times."""
     docs = shared.stage(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
-    mixed = mixing.mix(docs.select("doc_id", "source", "text", F.col("__rid").alias("rid"))).filter("repeats > 0")
+    mixed = mixing.mix(docs, rid="__rid").filter("repeats > 0")
     taken = mixed.select(F.col("rid").alias("__taken"), F.col("repeats").cast("int").alias("__times"))
     rows = docs.join(taken, F.col("__rid") == F.col("__taken"))
     return rows.select(*[c for c in docs.columns if c != "__rid"], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
