@@ -187,11 +187,11 @@ def similar(sets: list[np.ndarray], pairs: np.ndarray, threshold: float) -> np.n
 _LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64())])
 
 
-def _verify_group(keys: list[bytes], sets: list[np.ndarray], prefixes: np.ndarray, parts: np.ndarray, tree: int, threshold: float, out: list) -> None:
+def _verify_group(keys: list[bytes], sets: list[np.ndarray], prefixes: np.ndarray, parts: np.ndarray, crossing: bool, tree: int, threshold: float, out: list) -> None:
     """Links of the texts that meet here: rows (a, b, null) that span each
     linked set, and (a, null, n) with the number of links first met here."""
     i, j = np.triu_indices(len(keys), 1)
-    if parts.min() != parts.max():  # a pair of blocks: only what crosses
+    if crossing:  # a pair of blocks: only what crosses
         cross = parts[i] != parts[j]
         i, j = i[cross], j[cross]
     if tree:
@@ -250,7 +250,7 @@ def text_links(texts: DataFrame, threshold: float = 0.8, trees: int = 20, max_de
 
         def finish() -> None:
             if len(group) > 1:
-                _verify_group([r[2] for r in group], [r[3] for r in group], np.stack([r[4] for r in group]), np.array([r[1] for r in group]), group[0][0], threshold, out)
+                _verify_group([r[2] for r in group], [r[3] for r in group], np.stack([r[4] for r in group]), np.array([r[1] for r in group]), now[1] != now[2], group[0][0], threshold, out)
 
         for b in batches:
             for bucket, p, q, tree, part, key, raw, prefixes in zip(*(c.to_pylist() for c in b.columns[:7]), b.column(7)):
