@@ -98,30 +98,32 @@ def sort_suffixes(sym: np.ndarray, width: int) -> np.ndarray:
     (in the order of their positions)."""
     n = len(sym)
     lead = 7
-    padded = np.concatenate((sym, np.zeros(lead, dtype=np.int64)))
+    padded = np.concatenate((sym, np.zeros(lead, dtype=sym.dtype)))
     key, ends = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
     for j in range(lead):
         ends |= padded[j : j + n] == 0
-        key = key << 9 | np.where(ends, 0, padded[j : j + n])  # nothing behind a separator counts
-    sa = np.argsort(key, kind="stable")
-    k = key[sa]
-    first = np.concatenate(([True], (k[1:] != k[:-1]) | ends[sa[1:]]))
-    rank = np.empty(n, dtype=np.int64)
-    head = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+        key <<= 9
+        key |= np.where(ends, 0, padded[j : j + n])  # nothing behind a separator counts
+    sa = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[sa]
+    first = np.concatenate(([True], (key[1:] != key[:-1]) | ends[sa[1:]]))
+    del key, ends, padded
+    rank = np.empty(n, dtype=np.int32)
+    head = np.maximum.accumulate(np.where(first, np.arange(n, dtype=np.int32), 0)).astype(np.int32)
     rank[sa] = head
     known = min(lead, width)
     while known < width:
         step = min(known, width - known)
         alone = first & np.concatenate((first[1:], [True]))
-        at = np.flatnonzero(~alone)
+        at = np.flatnonzero(~alone).astype(np.int32)
         if not len(at):
             break
         members = sa[at]
-        group, second = head[at], rank[members + step]
-        order = np.argsort(group * n + second, kind="stable")
-        members, group, second = members[order], group[order], second[order]
+        pair = head[at].astype(np.int64) * n + rank[members + step]
+        order = np.argsort(pair)
+        members, pair = members[order], pair[order]
         sa[at] = members
-        new = np.concatenate(([True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])))
+        new = np.concatenate(([True], pair[1:] != pair[:-1]))
         first[at] = new
         head[at] = np.maximum.accumulate(np.where(new, at, 0))
         rank[members] = head[at]
@@ -134,16 +136,18 @@ def long_prefixes(sym: np.ndarray, sa: np.ndarray, width: int) -> np.ndarray:
     suffixes at p - 1 and p share ``width`` symbols: what remains after the
     backward search has set all smaller common prefixes."""
     n = len(sym)
-    isa = np.empty(n, dtype=np.int64)
-    isa[sa] = np.arange(n)
+    isa = np.empty(n, dtype=np.int32)
+    isa[sa] = np.arange(n, dtype=np.int32)
     bwt = np.where(sa > 0, sym[sa - 1], 0)
     lf = np.where(sa > 0, isa[sa - 1], 0)
+    del isa
     head = sym[sa]
     known = np.zeros(n + 1, dtype=bool)
     known[0] = known[n] = True
-    cuts = np.flatnonzero((head[1:] != head[:-1]) | (head[1:] == 0)) + 1  # common prefix 0
+    cuts = (np.flatnonzero((head[1:] != head[:-1]) | (head[1:] == 0)) + 1).astype(np.int32)  # common prefix 0
+    del head
     known[cuts] = True
-    lo, hi = np.concatenate(([0], cuts[:-1])) if len(cuts) else np.zeros(0, np.int64), cuts
+    lo, hi = np.concatenate((np.zeros(1, np.int32), cuts[:-1])) if len(cuts) else cuts, cuts
     for _ in range(1, width):
         if not len(lo):
             break
@@ -154,14 +158,14 @@ def long_prefixes(sym: np.ndarray, sa: np.ndarray, width: int) -> np.ndarray:
         if not one.all():
             start, size = lo[~one], size[~one]
             total = np.cumsum(size)
-            which = np.repeat(np.arange(len(start)), size)
+            which = np.repeat(np.arange(len(start), dtype=np.int32), size)
             at = np.arange(int(total[-1])) + (start - (total - size))[which]
             c = bwt[at]
             live = c != 0
             at, which, c = at[live], which[live], c[live]
             if len(at):
                 to = lf[at]
-                order = np.argsort(which * n + to)
+                order = np.argsort(which.astype(np.int64) * n + to)
                 to, which, c = to[order], which[order], c[order]
                 new = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (c[1:] != c[:-1]))))
                 los.append(to[new])
@@ -177,7 +181,7 @@ def repeated_starts(parts: list[bytes], width: int) -> list[np.ndarray]:
     """For each byte string the positions of the ``width``-byte strings that
     start at another place of the strings too."""
     sizes = np.array([len(p) + 1 for p in parts], dtype=np.int64)
-    sym = np.zeros(int(sizes.sum()), dtype=np.int64)
+    sym = np.zeros(int(sizes.sum()), dtype=np.int16)
     starts = np.cumsum(sizes) - sizes
     for s, p in zip(starts.tolist(), parts):
         sym[s : s + len(p)] = np.frombuffer(p, dtype=np.uint8)
