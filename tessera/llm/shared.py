@@ -39,9 +39,18 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession, rows: int = 500, size: int = 8 << 20) -> None:
+    """Keeps Arrow batches small: at 10,000 rows each, as is the default, a batch
+    of long texts takes more memory than a task has."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: the lineage ends
     here, so a lost executor costs no more than the step it worked on."""
+    bound_batches(df.sparkSession)
     path = fresh_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -74,6 +83,7 @@ def text_key(text="text"):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
