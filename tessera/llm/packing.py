@@ -58,16 +58,21 @@ def _trace(lengths: np.ndarray, last: np.ndarray, c: int) -> dict[int, int]:
     return out
 
 
-def _fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, eps: float, near: int) -> list[tuple[dict[int, int], float]]:
-    """Patterns with fractional multiplicities, by multiplicative weights. Each
-    round prices once; besides the best pattern it takes those that end at the
-    ``near`` next smaller capacities and share no length with one taken before
-    (all within a factor 1 - eps of the best, as the oracle allows)."""
-    prices = lengths / capacity
-    left = counts.astype(float)
+def _fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, eps: float, near: int, gap: float = 0.005) -> tuple[list[tuple[dict[int, int], float]], np.ndarray, float]:
+    """Multiplicative weights for the configuration LP: patterns with fractional
+    multiplicities, how far they cover each length, and a lower bound of the LP
+    (any prices over the value of their best pattern are a dual solution).
+
+    A round prices once. Besides the best pattern it takes those that end at the
+    ``near`` next smaller capacities, share no length with one taken before and
+    are worth at least 1 - eps of the best; each is used as often as its scarcest
+    length allows, and what it serves gets cheaper by that share. The search
+    ends when the scaled solution is within ``gap`` of the bound."""
+    prices, cover, lower = lengths / capacity, np.zeros(len(lengths)), 0.0
     found: dict[tuple, float] = {}
     for _ in range(rounds):
         best, last = _knapsack(lengths, prices, capacity)
+        lower = max(lower, float((counts * prices).sum() / best[capacity]))
         used: set[int] = set()
         for c in range(capacity, max(0, capacity - near), -1):
             if best[c] < (1 - eps) * best[capacity]:
@@ -76,16 +81,15 @@ def _fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds:
             if not p or used & p.keys():
                 continue
             used |= p.keys()
-            step = min(left[i] / n for i, n in p.items()) if all(left[i] > 0 for i in p) else 0
-            step = max(step, eps * min(counts[i] / n for i, n in p.items()))
+            step = min(counts[i] / n for i, n in p.items())
             key = tuple(sorted(p.items()))
             found[key] = found.get(key, 0.0) + step
             for i, n in p.items():
-                left[i] = max(0.0, left[i] - n * step)
-                prices[i] *= np.exp(-eps * 8 * min(1.0, n * step / counts[i]))
-        if (left * lengths).sum() < 0.002 * (counts * lengths).sum():
+                cover[i] += n * step / counts[i]
+                prices[i] *= np.exp(-eps * n * step / counts[i])
+        if (least := cover.min()) > 0 and sum(found.values()) / least <= (1 + gap) * lower:
             break
-    return [(dict(k), x) for k, x in found.items()]
+    return [(dict(k), x) for k, x in found.items()], cover, lower
 
 
 def _best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
@@ -130,29 +134,29 @@ def _best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tu
     return list(out.items())
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 150, eps: float = 0.1, near: int = 64) -> list[tuple[Pattern, int]]:
-    """Patterns and how many sequences follow each; uses every piece once."""
-    out: list[tuple[Pattern, int]] = []
-    if n := histogram.get(capacity):
-        out.append((((capacity, 1),), n))
+def plan(histogram: dict[int, int], capacity: int, rounds: int = 200, eps: float = 0.05, near: int = 64) -> list[tuple[Pattern, int]]:
+    """Patterns and how many sequences follow each; uses every piece once. The
+    LP solution is rounded down at a few scales, best fit takes the rest, and
+    the fewest sequences win (best fit alone among them)."""
+    full: list[tuple[Pattern, int]] = [(((capacity, 1),), n)] if (n := histogram.get(capacity)) else []
     lengths = np.array(sorted(k for k, n in histogram.items() if n and k < capacity), dtype=np.int64)
     counts = np.array([histogram[k] for k in lengths.tolist()], dtype=np.int64)
-    left = counts.copy()
-    if len(lengths):
-        for p, x in sorted(_fractional(lengths, counts, capacity, rounds, eps, near), key=lambda y: -y[1]):
-            if sum(int(lengths[i]) * n for i, n in p.items()) < capacity * (1 - eps / 10):
-                continue  # a loose pattern is left to best fit
-            m = min(int(x), *(int(left[i]) // n for i, n in p.items()))
-            if m > 0:
+    if not len(lengths):
+        return full
+    solution, cover, _ = _fractional(lengths, counts, capacity, rounds, eps, near)
+    solution.sort(key=lambda y: -y[1])
+    candidates = [_best_fit(lengths, counts, capacity)]
+    reached = cover[cover > 0]
+    for scale in {1 / reached.min(), 1 / np.median(reached), float((lengths * counts).sum() / (lengths * counts * cover).sum())}:
+        left, out = counts.copy(), []
+        for p, x in solution:
+            if (m := min(int(x * scale), *(int(left[i]) // n for i, n in p.items()))) > 0:
                 for i, n in p.items():
                     left[i] -= m * n
                 out.append((tuple(sorted(((int(lengths[i]), n) for i, n in p.items()), reverse=True)), m))
         some = left > 0
-        mixed = out + _best_fit(lengths[some], left[some], capacity)
-        # The integer hull has no guarantee beside the LP bound: keep plain best fit where it needs fewer.
-        plain = out[: 1 if histogram.get(capacity) else 0] + _best_fit(lengths, counts, capacity)
-        out = min(mixed, plain, key=lambda y: sum(m for _, m in y))
-    return out
+        candidates.append(out + _best_fit(lengths[some], left[some], capacity))
+    return full + min(candidates[1:] + candidates[:1], key=lambda y: sum(m for _, m in y))
 
 
 def _places(patterns: list[tuple[Pattern, int]]) -> np.ndarray:
