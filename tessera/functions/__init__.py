@@ -1,0 +1 @@
+"""The dialect and its scalar functions."""

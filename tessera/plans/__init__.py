@@ -1,0 +1 @@
+"""Query texts and the registry that the driver reads."""

@@ -1,0 +1,4 @@
+"""Sources here are finite files and tables, so every query is a batch query.
+
+The package keeps this place for continuous queries; there are none to run.
+"""
