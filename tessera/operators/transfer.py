@@ -4,7 +4,8 @@ A filter is built from a build side's join key (bounds, and the distinct keys
 while they are few) and applied to a probe side before the join. It never
 changes a join's result where rows without a partner are dropped. Few keys
 become an IN list, which reaches the Parquet scan and its row-group and page
-statistics; more keys become bounds, and a semi join where it pays.
+statistics; more keys become bounds and a Bloom filter of at most 4 MiB, which
+Spark evaluates in generated code.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from ..errors import InvalidInput
 from .joins import join
 
 #: Defaults of the planner.
@@ -22,21 +25,77 @@ MAX_VALUES = 256
 MAX_MATCH = 0.5
 MAX_SELECTIVITY = 0.2
 MAX_CHAIN = 2
+BITS_PER_KEY = 10  # about 1 % false positives
+MAX_BLOOM_BYTES = 4 << 20
 
 #: Kinds whose unmatched rows are dropped, by the side that may be filtered.
 _FILTERS_LEFT = frozenset(("inner", "semi", "right_semi", "right"))
 _FILTERS_RIGHT = frozenset(("inner", "semi", "right_semi", "left"))
 
 
+def _hash(df: DataFrame, key: str) -> tuple[Column, str]:
+    """A 64-bit hash of a key, the same for all integer types, and its kind."""
+    kind = df.schema[key].dataType
+    whole = isinstance(kind, IntegralType)
+    return F.xxhash64(F.col(key).cast("long") if whole else F.col(key)), "whole" if whole else kind.simpleString()
+
+
+@dataclass(frozen=True)
+class BloomFilter:
+    """A set of keys with false positives and no false negatives."""
+
+    data: bytes
+    bits: int
+    kind: str
+
+    @staticmethod
+    def build(df: DataFrame, key: str, keys: int, bits_per_key: int = BITS_PER_KEY, max_bytes: int = MAX_BLOOM_BYTES) -> BloomFilter | None:
+        """The filter of a key column with about ``keys`` distinct values, built
+        by the executors; None when it would exceed ``max_bytes``. Nulls are no keys."""
+        bits = max(64, keys * bits_per_key)
+        if bits > 8 * max_bytes:
+            return None
+        h, kind = _hash(df, key)
+        rows = df.filter(F.col(key).isNotNull()).select(h.alias("h"))
+        return BloomFilter(_bytes(df.sparkSession, rows._jdf.stat().bloomFilter("h", max(1, keys), bits)), bits, kind)
+
+    def merge(self, spark: SparkSession, other: BloomFilter) -> BloomFilter:
+        """The union of two filters of one size and kind."""
+        if (self.bits, self.kind) != (other.bits, other.kind):
+            raise InvalidInput("Bloom filters of different sizes or kinds do not merge")
+        jvm = spark._jvm
+        one, two = (jvm.org.apache.spark.util.sketch.BloomFilter.readFrom(jvm.java.io.ByteArrayInputStream(bytearray(x.data))) for x in (self, other))
+        return BloomFilter(_bytes(spark, one.mergeInPlace(two)), self.bits, self.kind)
+
+    def might_contain(self, df: DataFrame, key: str) -> Column:
+        """Whether a row's key may be in the set; null for null keys."""
+        from pyspark.sql.classic.column import Column as Classic
+
+        h, kind = _hash(df, key)
+        if kind != self.kind:
+            raise InvalidInput(f"a filter of {self.kind} keys on a key of {kind}")
+        jvm = df.sparkSession._jvm
+        bridge = jvm.org.apache.spark.sql.classic.ExpressionUtils
+        probe = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(bridge.expression(F.lit(bytearray(self.data))._jc), bridge.expression(h._jc))
+        return F.when(F.col(key).isNotNull(), Classic(bridge.column(probe)))
+
+
+def _bytes(spark: SparkSession, bloom) -> bytes:
+    out = spark._jvm.java.io.ByteArrayOutputStream()
+    bloom.writeTo(out)
+    return bytes(out.toByteArray())
+
+
 @dataclass(frozen=True)
 class DynamicFilter:
-    """Bounds of a key and its values, or None for the values when there are too
-    many. Without any key the filter lets nothing pass."""
+    """Bounds of a key and its values, or a Bloom filter when there are too many
+    (None for both: bounds only). Without any key the filter lets nothing pass."""
 
     low: object
     high: object
     values: tuple | None
     distinct: int
+    bloom: BloomFilter | None = None
 
     def merge(self, other: DynamicFilter, max_values: int = MAX_VALUES) -> DynamicFilter:
         """The filter for the union of two build sides."""
@@ -54,7 +113,10 @@ class DynamicFilter:
             return probe.filter(F.lit(False))
         if self.values is not None:
             return probe.filter(F.col(key).isin(list(self.values)))
-        return probe.filter(F.col(key).between(self.low, self.high))
+        out = probe.filter(F.col(key).between(self.low, self.high))
+        if self.bloom is not None and _hash(probe, key)[1] == self.bloom.kind:
+            out = out.filter(self.bloom.might_contain(probe, key))
+        return out
 
 
 def build(df: DataFrame, key: str, max_values: int = MAX_VALUES) -> DynamicFilter:
@@ -68,14 +130,14 @@ def build(df: DataFrame, key: str, max_values: int = MAX_VALUES) -> DynamicFilte
     values = None if floating or n > 2 * max_values else [r[0] for r in k.distinct().limit(max_values + 1).collect()]
     if values is not None and len(values) <= max_values:
         return DynamicFilter(low, high, tuple(sorted(values)), len(values))
-    return DynamicFilter(low, high, None, n)
+    return DynamicFilter(low, high, None, n, None if floating else BloomFilter.build(df, key, n))
 
 
-def transfer(build_side: DataFrame, build_key: str, probe: DataFrame, probe_key: str, semi: bool = True, domain: int | None = None, probe_rows: int | None = None, max_values: int = MAX_VALUES) -> DataFrame:
+def transfer(build_side: DataFrame, build_key: str, probe: DataFrame, probe_key: str, semi: bool = False, domain: int | None = None, probe_rows: int | None = None, max_values: int = MAX_VALUES) -> DataFrame:
     """``probe`` without rows that cannot match. With the number of distinct
     keys in the whole domain, or of probe rows, a filter that would let too much
-    pass is not applied. Beyond ``max_values`` keys, ``semi`` adds a semi join on
-    the distinct keys, broadcast only if Spark finds them small."""
+    pass is not applied. ``semi`` makes a filter without all values exact by a
+    semi join on the distinct keys, broadcast only if Spark finds them small."""
     f = build(build_side, build_key, max_values)
     if domain is not None and f.distinct > MAX_MATCH * domain:
         return probe

@@ -3,6 +3,7 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import errors
 from tessera import operators as O
@@ -225,6 +226,24 @@ def test_filters_merge(spark):
     assert O.transfer(spark.range(50), "id", spark.range(100), "id", domain=60).count() == 100  # lets too much pass
 
 
+def test_bloom(spark):
+    keys = spark.createDataFrame([(i * 7,) for i in range(1000)] + [(None,)], "k int")
+    wide = spark.range(7000).withColumn("s", F.col("id").cast("string"))
+    b = O.BloomFilter.build(keys, "k", 1000)
+    passed = {r.id for r in wide.filter(b.might_contain(wide, "id")).collect()}
+    assert set(range(0, 7000, 7)) <= passed and len(passed) < 1200
+    assert O.BloomFilter.build(keys, "k", 1000, max_bytes=100) is None
+    other = O.BloomFilter.build(spark.createDataFrame([(1,), (2,)], "k int"), "k", 1000)
+    both = b.merge(spark, other)
+    assert {1, 2, 7} <= {r.id for r in wide.filter(both.might_contain(wide, "id")).collect()}
+    with pytest.raises(errors.InvalidInput):
+        b.might_contain(wide, "s")
+    with pytest.raises(errors.InvalidInput):
+        b.merge(spark, O.BloomFilter.build(keys, "k", 2000))
+    f = O.build(keys, "k")
+    assert f.values is None and f.bloom is not None and f.apply(wide, "id").count() < 1200
+
+
 def test_in_list_reaches_the_scan(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_size = 7")
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
