@@ -242,7 +242,7 @@ def text_links(texts: DataFrame, threshold: float = 0.8, trees: int = 20, max_de
     dealt = held.withColumn("blocks", blocks).withColumn("part", part).select("key", "bucket", "tree", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", "bucket", "tree", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
     rows = dealt.join(sets, "key")
-    n = shared.spread(texts.sparkSession)
+    n = shared.spread(texts.sparkSession, held, 256 << 10)
     rows = rows.repartition(2 * n, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").select("bucket", "p", "q", "tree", "part", "key", "shingles", "prefixes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,7 +97,7 @@ def write_records(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
     row names. Null texts are empty, an empty table gives an empty manifest."""
     spark = docs.sparkSession
     path, folder = resolve(tokenizer), shared.fresh_folder(spark, "records")
-    n = shards or shared.spread(spark)
+    n = shards or shared.spread(spark, docs)
     order = [F.col("doc_id").asc_nulls_last(), F.col("h")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
     ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")

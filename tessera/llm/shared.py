@@ -71,9 +71,18 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def spread(spark: SparkSession) -> int:
-    """How many partitions a shuffle is to have in this session."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def spread(spark: SparkSession, df: DataFrame | None = None, bytes_each: int = 64 << 20) -> int:
+    """How many partitions a shuffle is to have: the session's number, or as many
+    as keep those of ``df`` near ``bytes_each`` of its files, where it reads a
+    single table and so knows its size."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    if df is not None:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        if leaves.size() == 1:
+            size = int(leaves.head().stats().sizeInBytes().toString())
+            if size < 1 << 60:  # else not known
+                n = max(n, size // bytes_each)
+    return n
 
 
 def text_key(text="text"):

@@ -281,7 +281,7 @@ def _by_transform(bodies: DataFrame, width: int, batch_bytes: int) -> DataFrame:
         if held and (out := solve(held)) is not None:
             yield out
 
-    n = 2 * shared.spread(bodies.sparkSession)
+    n = 2 * shared.spread(bodies.sparkSession, bodies, 8 << 20)
     return bodies.repartition(n, "fp").sortWithinPartitions("fp", "dig").mapInArrow(run, "fp long, dig long, len int, lo int, hi int")
 
 
@@ -296,7 +296,7 @@ def _by_digest(bodies: DataFrame, width: int) -> DataFrame:
                 m = len(h)
                 yield shared.batch(_STRINGS, [pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), [fp] * m, [dig] * m, [n] * m, pa.array(np.arange(m, dtype=np.int32))])
 
-    n = 2 * shared.spread(bodies.sparkSession)
+    n = 2 * shared.spread(bodies.sparkSession, bodies, 8 << 20)
     strings = bodies.repartition(n, "fp", "dig").mapInArrow(run, "a long, b long, fp long, dig long, len int, at int")
     strings = shared.stage(strings, "strings")
     again = strings.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
