@@ -79,7 +79,7 @@ def spread(spark: SparkSession, df: DataFrame | None = None, bytes_each: int = 6
     if df is not None:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
         if leaves.size() == 1:
-            size = int(leaves.head().stats().sizeInBytes().toString())
+            size = int(str(leaves.head().stats().sizeInBytes()))
             if size < 1 << 60:  # else not known
                 n = max(n, size // bytes_each)
     return n
