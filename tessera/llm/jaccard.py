@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,22 +33,12 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < 600_000:
-            self[word] = h
-        return h
-
-
-_hashes = _Hashes()
-
-
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``n`` words (lower case, cut at
     white space)."""
     words = (text or "").lower().split()
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    known = shared.keep("word hashes", shared.WordHashes)
+    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     if not len(h):
         return h
     n = min(n, len(h))

@@ -153,7 +153,8 @@ def predict(docs: DataFrame, langs: list[str], trees: list[dict], order: int = 4
     model = docs.sparkSession.sparkContext.broadcast((langs, trees))  # bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(model.id if hasattr(model, "id") else None, model.value, order)
+        trained = model.value
+        _, scorer = shared.keep(("scorer", id(trained)), lambda: (trained, Scorer(*trained, order)))
         for b in batches:
             got = [scorer.predict(t.as_py()) for t in b.column(2)]
             yield shared.batch(_PREDICTED, [b.column(0), b.column(1), [x for x, _ in got], [y for _, y in got]])
@@ -161,16 +162,6 @@ def predict(docs: DataFrame, langs: list[str], trees: list[dict], order: int = 4
     return docs.select(F.col("doc_id").cast("long"), "held_out", F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-_last: list = [None, None]
-
-
-def _scorer(key, value, order) -> Scorer:
-    """The scorer of this process; kept between tasks of one model."""
-    if _last[0] is not value:
-        _last[:] = [value, Scorer(*value, order)]
-    return _last[1]
-
-
 def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)))
     langs, trees = train(docs.filter((fold("doc_id", 3) != 1)))

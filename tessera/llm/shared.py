@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,8 +64,26 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+_kept: list = [None, None]
+
+
+def keep(name, make: Callable):
+    """What a Python worker remembers between tasks: one thing at a time, so that
+    the memories of operators that follow one another do not add up."""
+    if _kept[0] != name:
+        _kept[:] = [None, None]
+        _kept[:] = [name, make()]
+    return _kept[1]
+
+
+class WordHashes(dict):
+    """64-bit hashes of words; the first 400,000 are remembered."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(self) < 400_000:
+            self[word] = h
+        return h
 
 
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:

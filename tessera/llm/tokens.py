@@ -17,6 +17,8 @@ from itertools import repeat
 
 import numpy as np
 
+from . import shared
+
 _SPACE_BEFORE_WORD = re.compile(r" (?=\S)")
 _LATIN, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[!-&(-/:-@\\[-`{-~]*"
 _LATIN_THEN_MARKS = re.compile(f"({_LATIN})({_MARKS})(?:(\n{_LATIN})({_MARKS}))?\x1f|[^\x1f]*\x1f")
@@ -210,15 +212,9 @@ class ChunkEncoder:
         return [np.frombuffer(x, dtype=d) for x, d in zip(self.encode_raw(texts), repeat(self.dtype))]
 
 
-_loaded: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """The encoder of this process for a tokenizer file."""
-    if path not in _loaded:
-        _loaded.clear()
-        _loaded[path] = ChunkEncoder(path)
-    return _loaded[path]
+    return shared.keep(("encoder", path), lambda: ChunkEncoder(path))
 
 
 def slices(texts: list[str], chars: int = 1 << 21):

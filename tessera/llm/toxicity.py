@@ -32,21 +32,11 @@ _WORDS = re.compile(r"\w+")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < 500_000:
-            self[word] = h
-        return h
-
-
-_hashes = _Hashes()
-
-
 def features(text: str | None, bits: int) -> np.ndarray:
     """Buckets of the n-grams and skip-grams of a text, with repetitions."""
     found = _WORDS.findall((text or "").lower())
-    h = np.fromiter(map(_hashes.__getitem__, found), dtype=np.uint64, count=len(found))
+    known = shared.keep("word hashes", shared.WordHashes)
+    h = np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
     parts, down = [h * _MULTIPLIERS[0]], np.uint64(64 - bits)
     for gap in (1, 2, 3):
         if len(h) > gap:
