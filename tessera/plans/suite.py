@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import operators as O
 from ..engine import Engine
 from ..functions import scalars as S
+from ..session import scratch
 from .tpch import QUERIES as TPCH
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -244,6 +245,17 @@ def _file_stems(spark, d):
     return Engine(spark).sql(f"SELECT count(*) AS n FROM remote(['{d}/nation.parquet']), '{d}/region.parquet' WHERE n_regionkey = r_regionkey")
 
 
+def _through(format, spark, d):
+    """A result that is written and then read as a file named in the query."""
+    path = f"{scratch(spark, 'out')}.{format}"
+    engine = _engine(spark, d, "nation customer")
+    engine.write("SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_nationkey > 3 THEN c_mktsegment END AS seg, c_acctbal > 0 AS ok FROM customer, nation WHERE c_nationkey = n_nationkey", path, format)
+    return Engine(spark).sql(f"SELECT seg, ok, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS k, round(sum(c_acctbal), 2) AS b, max(c_name) AS last FROM '{path}' AS f GROUP BY seg, ok")
+
+
+_THROUGH_SQL = "SELECT CASE WHEN c_nationkey > 3 THEN c_mktsegment END AS seg, c_acctbal > 0 AS ok, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS k, round(sum(c_acctbal), 2) AS b, max(c_name) AS last FROM customer GROUP BY ALL"
+
+
 def _split(spark, d):
     (orders,) = _read(spark, d, "orders")
     split = O.hash_split(orders, 8, "o_custkey")
@@ -272,6 +284,8 @@ API: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "source_file_in_from": (_file_in_from, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "source_file_list": (_file_list, "SELECT n_nationkey, CAST(2 AS BIGINT) AS n FROM nation"),
     "source_remote": (_file_remote, "SELECT r_name FROM region WHERE r_regionkey > 1"),
+    "sink_csv": (partial(_through, "csv"), _THROUGH_SQL),
+    "sink_parquet": (partial(_through, "parquet"), _THROUGH_SQL),
     "source_comma_list": (_file_stems, "SELECT count(*) AS n FROM nation, region WHERE n_regionkey = r_regionkey"),
 }
 

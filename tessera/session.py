@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: What the engine sets on any session it is given; all are runtime settings.
@@ -29,3 +31,10 @@ def prepare(spark: SparkSession) -> SparkSession:
         if spark.conf.get(k, None) != SETTINGS[k]:
             spark.conf.set(k, SETTINGS[k])
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``,
+    or else the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
