@@ -29,9 +29,9 @@ from . import shared
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())])
 _RECORDS = pa.schema(
-    [("record_id", pa.string()), ("kind", pa.string()), ("concurrent_to", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("http_head", pa.string()), ("payload", pa.binary()), ("fields", pa.map_(pa.string(), pa.string()))]
+    [("record_id", pa.string()), ("kind", pa.string()), ("concurrent_to", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("http_head", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("fields", pa.map_(pa.string(), pa.string()))]
 )
-_RECORDS_SQL = "record_id string, kind string, concurrent_to string, target_uri string, date string, payload_digest string, http_head string, payload binary, fields map<string,string>"
+_RECORDS_SQL = "record_id string, kind string, concurrent_to string, target_uri string, date string, payload_digest string, http_head string, payload binary, payload_bytes long, fields map<string,string>"
 
 
 def digest32(data: bytes) -> str:
@@ -163,7 +163,7 @@ def read_archives(manifest: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
                                 payload = None
                         else:
                             fields = [tuple(x.split(": ", 1)) for x in block.decode().split("\r\n") if ": " in x]
-                        rows.append((h["warc-record-id"], kind, h.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-date"), (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None, head, payload, fields))
+                        rows.append((h["warc-record-id"], kind, h.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-date"), (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None, head, payload, None if payload is None else len(payload), fields))
                         size += len(block) + 500
                         if size > batch_bytes:
                             yield shared.batch(_RECORDS, list(zip(*rows)))
@@ -175,33 +175,34 @@ def read_archives(manifest: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
     return manifest.select("path").repartition(min(n, 4 * shared.spread(manifest.sparkSession))).mapInArrow(read, _RECORDS_SQL)
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, payload: bool = True) -> DataFrame:
     """One nested row per capture: request, response and metadata records that
     belong together through their concurrent-to identifiers. A capture whose
-    request or metadata is missing keeps nulls there."""
+    request or metadata is missing keeps nulls there. Without ``payload`` the
+    bodies stay out of the join; their sizes and digests are there all the same."""
 
     def kind(names: list[str], key: str, alias: str, *columns: str) -> DataFrame:
         return records.filter(F.col("kind").isin(names)).select(F.col(key).alias("capture"), F.struct("record_id", *columns).alias(alias))
 
-    response = kind(["response", "revisit"], "record_id", "response", "kind", "target_uri", "date", "payload_digest", "http_head", "payload")
+    response = kind(["response", "revisit"], "record_id", "response", "kind", "target_uri", "date", "payload_digest", "http_head", "payload_bytes", *["payload"] * payload)
     request = kind(["request"], "concurrent_to", "request", "http_head")
     metadata = kind(["metadata"], "concurrent_to", "metadata", "fields")
     return response.join(request, "capture", "left").join(metadata, "capture", "left").select("capture", "request", "response", "metadata")
 
 
-def captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def captures(pages: DataFrame, min_bytes: int = 0, payload: bool = True) -> DataFrame:
     """Writes, reads back and assembles. The records are staged once, so that
     the three sides of the join do not read the archives three times."""
-    return assemble(shared.stage(read_archives(write_archives(pages, min_bytes)), "warc-records"))
+    return assemble(shared.stage(read_archives(write_archives(pages, min_bytes)), "warc-records"), payload)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = captures(shared.table(spark, sf_dir, "pages"))
+    c = captures(shared.table(spark, sf_dir, "pages"), payload=False)
     fields = F.col("metadata.fields")
     revisit = F.col("response.kind") == "revisit"
     return c.select(
         fields["page-id"].cast("long").alias("page_id"),
-        F.when(revisit, fields["payload-bytes"].cast("long")).otherwise(F.length("response.payload").cast("long")).alias("payload_bytes"),
+        F.when(revisit, fields["payload-bytes"].cast("long")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.kind").alias("record_type"),
         F.when(revisit, fields["refers-to-page"].cast("long")).alias("refers_to"),
