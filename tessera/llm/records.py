@@ -10,6 +10,11 @@ ids take 4 bytes instead of 2), doc_id as int64, then the ids, all little-endian
 Beside each shard lies an index of its own: the little-endian uint64 offset of
 every frame and, last, the length of the shard, so that any record can be read
 alone, in any order.
+
+Defined results: a null or empty text is a record of the end id alone; a null
+doc_id is stored as such and comes last; rows that share a doc_id, or repeat
+whole, have a record each, in the order of their texts' hashes; an empty table
+gives no shard and no rows.
 """
 
 from __future__ import annotations

@@ -1,4 +1,8 @@
-"""The operators as stages of the corpus pipeline."""
+"""The operators as stages of the corpus pipeline.
+
+All but the last keep the columns of their input, whatever these are called.
+Nulls are treated as the operators say; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
