@@ -282,3 +282,20 @@ def classes(docs: DataFrame, rid: str | None = None, **options) -> DataFrame:
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(shared.table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of", "n_links")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+c AS (SELECT t, min(doc_id) AS id FROM d GROUP BY t),
+w AS (SELECT id, list_filter(regexp_split_to_array(lower(t), '\s+'), lambda x: x <> '') AS w FROM c),
+i AS (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0),
+g AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM i),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM g AS a JOIN g AS b ON a.s = b.s AND a.id <> b.id GROUP BY a.id, b.id),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.id = a JOIN n AS y ON y.id = b WHERE CAST(k AS DOUBLE) / (x.n + y.n - k) >= 0.8),
+r AS (SELECT id AS a, id AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, min(b) AS class_id FROM r GROUP BY a),
+e AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT d.doc_id, m.class_id, c.id AS copy_of, CAST(coalesce(e.n_links, 0) AS BIGINT) AS n_links
+FROM d JOIN c ON d.t = c.t JOIN m ON m.a = c.id LEFT JOIN e ON e.a = c.id
+"""

@@ -24,7 +24,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_warc": warc.OP2_SQL, "op8_dual_tree": covertree.OP8_SQL}
+    found = {"op2_warc": warc.OP2_SQL, "op3_jaccard_join": jaccard.OP3_SQL, "op7_suffix_dedup": suffix.OP7_SQL, "op8_dual_tree": covertree.OP8_SQL}
     if corpus_pipeline.ORACLE_SQL is not None:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found

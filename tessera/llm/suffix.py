@@ -370,3 +370,19 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(shared.table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH x AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+u AS (SELECT r, h, unnest(range(0, greatest(length(h) // 2 - 399, 0))) AS i FROM x),
+w AS (SELECT r, i, md5(substr(h, CAST(2 * i + 1 AS BIGINT), 800)) AS m FROM u),
+s AS (SELECT r, i FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+b AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM s),
+g AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM b),
+p AS (SELECT r, min(i) AS lo, max(i) + 400 AS hi FROM g GROUP BY r, k),
+q AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS before FROM p),
+f AS (SELECT q.r, count(*) AS n, sum(hi - lo) AS gone, max(hi) AS last, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (lo - before) AS BIGINT)), '' ORDER BY lo) AS kept FROM q JOIN x ON x.r = q.r GROUP BY q.r)
+SELECT x.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN f.r IS NULL THEN h ELSE kept || substr(h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256
+FROM x LEFT JOIN f ON f.r = x.r
+"""
