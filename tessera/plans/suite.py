@@ -31,7 +31,7 @@ _TIER = "tiers AS (SELECT * FROM (VALUES (1, 'gold'), (2, 'silver'), (3, 'bronze
 SQL = {
     # projection, filter, limit, sort, top-n
     "projection": "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net, l_quantity + 1 AS q1 FROM lineitem",
-    "projection_constants": "SELECT o_orderkey, 7 AS seven, 'x' AS s, 1.5 + 0 AS d, TRUE AS yes FROM orders",
+    "projection_constants": "SELECT o_orderkey, 7 AS seven, 'x' AS s, CAST(1.5 AS DOUBLE) + 0 AS d, TRUE AS yes FROM orders",
     "filter_comparisons": "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_totalprice <= 200000 AND o_orderstatus <> 'F'",
     "filter_or_not": "SELECT c_custkey FROM customer WHERE NOT (c_acctbal < 0 OR c_mktsegment = 'BUILDING')",
     "filter_between": "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20",
