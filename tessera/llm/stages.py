@@ -39,24 +39,32 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.join(keep, F.col("__rid") == F.col("__keep"), "left_semi").drop("__rid")
 
 
-def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = 400) -> DataFrame:
-    """Cuts out of each text what suffix-array dedup marks. A character of which
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = 400, words: int = 51) -> DataFrame:
+    """Cuts out of each text what suffix-array dedup marks: strings of ``width``
+    bytes, and of ``words`` words, that start elsewhere too. A character of which
     a byte goes is dropped whole; n_chars follows the text. Rows stay, with
     unchanged texts where nothing is marked, and so do null texts."""
-    spans = shared.stage(suffix.covered(suffix.keyed(docs).select("key", "raw"), width=width), "spans")
-    rows = docs.withColumn("__key", shared.text_key()).join(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left").drop("__key")
+    texts = suffix.keyed(docs).select("key", "raw")
+    spans = shared.stage(suffix.covered(texts, width=width), "spans").select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    passages = shared.stage(suffix.covered_words(texts, words), "passages").select(F.col("key").alias("__key"), F.col("spans").alias("__passages"))
+    rows = docs.withColumn("__key", shared.text_key()).join(spans, "__key", "left").join(passages, "__key", "left").drop("__key")
     at, schema = docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, found in zip(b.column(at), b.column(b.num_columns - 1)):
-                found = suffix.merge([(x["lo"], x["hi"]) for x in found.as_py() or ()])
-                texts.append(suffix.kept_bytes(text.as_py().encode(), found).decode("utf-8", "ignore") if found else text.as_py())
+            for text, *found in zip(b.column(at), b.column(b.num_columns - 2), b.column(b.num_columns - 1)):
+                strings, passages = (suffix.merge([(x["lo"], x["hi"]) for x in f.as_py() or ()]) for f in found)
+                if not strings and not passages:
+                    texts.append(text.as_py())
+                    continue
+                raw = text.as_py().encode()
+                cut = suffix.merge(strings + suffix.word_spans(raw, passages, words))
+                texts.append(suffix.kept_bytes(raw, cut).decode("utf-8", "ignore"))
             columns = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(schema))]
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[: len(schema)])
 
-    out = rows.select(*docs.columns, "__spans").mapInArrow(run, schema)
+    out = rows.select(*docs.columns, "__spans", "__passages").mapInArrow(run, schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
 
 

@@ -26,7 +26,8 @@ as copies; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ from . import shared
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 _RUN = 4096  # strings in a segment at most
 _PART = 1 << 22  # bytes of a text that are looked at together
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")  # what a word is, as in mixing
+_CODE = 8  # bytes that stand for a word
 
 
 def gram_hashes(a: np.ndarray, gram: int) -> np.ndarray:
@@ -211,6 +214,21 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def word_codes(raw: bytes) -> bytes:
+    """The words of a text as 64-bit hashes: strings of words repeat where strings
+    of ``_CODE`` bytes each do."""
+    known = shared.keep("word codes", shared.WordHashes)
+    return np.array([known[w] for w in _WORD.findall(raw)], dtype="<u8").tobytes()
+
+
+def word_spans(raw: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """Ranges of the text for merged ranges of its codes, without the words that
+    are covered in part; ranges of fewer than ``words`` words are none."""
+    whole = [(-(-a // _CODE), b // _CODE) for a, b in spans]
+    at = [m.span() for m in _WORD.finditer(raw)] if whole else []
+    return [(at[a][0], at[b - 1][1]) for a, b in whole if b - a >= words]
+
+
 _SEGMENTS = pa.schema([("key", pa.binary()), ("fp", pa.int64()), ("start", pa.int32()), ("len", pa.int32()), ("dig", pa.int64()), ("l", pa.int64()), ("r", pa.int64()), ("odd", pa.bool_())])
 _TEXTS = pa.schema([("fp", pa.int64()), ("dig", pa.int64()), ("len", pa.int32()), ("body", pa.binary())])
 _COVERS = pa.schema([("fp", pa.int64()), ("dig", pa.int64()), ("len", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
@@ -221,12 +239,13 @@ def _signed(x: int | None) -> int | None:
     return None if x is None else x - (x >> 63 << 64)
 
 
-def _all_segments(texts: DataFrame, width: int, gram: int) -> DataFrame:
+def _all_segments(texts: DataFrame, width: int, gram: int, code: Callable[[bytes], bytes] | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for key, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                for fp, start, n, dig, left, right, odd in segments(raw.as_py(), width, gram):
+                raw = raw.as_py() if code is None else code(raw.as_py())
+                for fp, start, n, dig, left, right, odd in segments(raw, width, gram):
                     rows.append((key, _signed(fp), start, n, _signed(dig), _signed(left), _signed(right), odd))
                 if len(rows) > 50_000:
                     yield shared.batch(_SEGMENTS, list(zip(*rows)))
@@ -234,10 +253,11 @@ def _all_segments(texts: DataFrame, width: int, gram: int) -> DataFrame:
             if rows:
                 yield shared.batch(_SEGMENTS, list(zip(*rows)))
 
-    return texts.filter(F.length("raw") >= width).mapInArrow(run, "key binary, fp long, start int, len int, dig long, l long, r long, odd boolean")
+    least = width if code is None else 2 * (width // _CODE) - 1
+    return texts.filter(F.length("raw") >= least).mapInArrow(run, "key binary, fp long, start int, len int, dig long, l long, r long, odd boolean")
 
 
-def _bodies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+def _bodies(texts: DataFrame, wanted: DataFrame, code: Callable[[bytes], bytes] | None = None) -> DataFrame:
     """The bytes of the segments ``wanted`` (fp, dig, len, key, start)."""
     each = wanted.groupBy("key").agg(F.collect_list(F.struct("fp", "dig", "len", "start")).alias("parts"))  # of one text
     some = texts.join(each.select("key"), "key", "left_semi").dropDuplicates(["key"]).join(each, "key").select("raw", "parts")
@@ -246,7 +266,7 @@ def _bodies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             rows, size = [], 0
             for raw, parts in zip(b.column(0), b.column(1)):
-                raw = raw.as_py()
+                raw = raw.as_py() if code is None else code(raw.as_py())
                 for p in parts.as_py():
                     rows.append((p["fp"], p["dig"], p["len"], raw[p["start"] : p["start"] + p["len"]]))
                     size += p["len"]
@@ -303,10 +323,11 @@ def _by_digest(bodies: DataFrame, width: int) -> DataFrame:
     return strings.join(again, ["a", "b"], "left_semi").select("fp", "dig", "len", F.col("at").alias("lo"), (F.col("at") + width).cast("int").alias("hi"))
 
 
-def covered(texts: DataFrame, width: int = 400, gram: int = 32, batch_bytes: int = 1 << 19, hash_bytes: int = 3 << 20) -> DataFrame:
+def covered(texts: DataFrame, width: int = 400, gram: int = 32, batch_bytes: int = 1 << 19, hash_bytes: int = 3 << 20, code: Callable[[bytes], bytes] | None = None) -> DataFrame:
     """(key, spans) for those of ``texts`` (key, raw; equal keys, equal bytes) that
-    hold strings which start elsewhere too; spans may overlap or touch."""
-    found = shared.stage(_all_segments(texts, width, gram), "segments")
+    hold strings which start elsewhere too; spans may overlap or touch. With
+    ``code`` (``word_codes``) strings and spans are those of the codes."""
+    found = shared.stage(_all_segments(texts, width, gram, code), "segments")
     # A segment in which its gram recurs may repeat itself.
     often = found.groupBy("fp").agg(F.count("*").alias("n"), F.max("odd").alias("odd")).filter("n > 1 OR odd").select("fp")
     places = shared.stage(found.join(often, "fp", "left_semi").groupBy("fp", "dig", "len", "key", "start").agg(F.count("*").alias("n"), F.first("l").alias("l"), F.first("r").alias("r"), F.first("odd").alias("odd")), "places")
@@ -322,7 +343,7 @@ def covered(texts: DataFrame, width: int = 400, gram: int = 32, batch_bytes: int
     able = shared.stage(able, "able")
     large = able.groupBy("fp").agg(F.sum("len").alias("bytes")).select("fp", (F.col("bytes") > hash_bytes).alias("large"))
     wanted = able.join(large, "fp").select("fp", "dig", "len", "at.key", "at.start", "large")
-    bodies = shared.stage(_bodies(texts, wanted).join(large, "fp"), "bodies")
+    bodies = shared.stage(_bodies(texts, wanted, code).join(large, "fp"), "bodies")
     part = ["fp", "dig", "len", "body"]
     covers = whole.union(_by_transform(bodies.filter("NOT large").select(part), width, batch_bytes)).union(_by_digest(bodies.filter("large").select(part), width))
     covers = shared.stage(covers, "covers")
@@ -334,6 +355,12 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, shared.text_key().alias("key"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("raw"))
 
 
+def covered_words(texts: DataFrame, words: int, **options) -> DataFrame:
+    """As ``covered``, for strings of ``words`` words, however long these are and
+    whatever stands between them; spans are for ``word_spans``."""
+    return covered(texts, width=words * _CODE, code=word_codes, **options)
+
+
 def with_spans(docs: DataFrame, columns: list[str], **options) -> DataFrame:
     """``columns`` of ``docs`` with raw (the text's bytes) and spans (null: none)."""
     spans = shared.stage(covered(keyed(docs).select("key", "raw"), **options), "spans")

@@ -1,4 +1,5 @@
 import inspect
+import random
 
 import corpus_pipeline
 from tessera.llm import registry, stages
@@ -38,3 +39,16 @@ def test_run(spark, sf_dir):
     for r in rows:
         full[r.sequence_id] = full.get(r.sequence_id, 0) + r.length
     assert rows and max(full.values()) <= 2048 and sum(full.values()) > 0.97 * 2048 * (len(full) - 1)
+
+
+def test_passages_of_over_50_words_go(spark, odd, sf_dir):
+    rng = random.Random(9)
+    w = lambda n, k=4: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(k)) for _ in range(n))
+    passage, tiny, under = w(51), w(51, 1), w(50)
+    assert len(passage) < 400 and len(tiny) == 101
+    own = [w(80, 9) for _ in range(8)]
+    parts = [(own[0], passage, own[1]), (own[2], passage, own[3]), ("", tiny, own[4]), (own[5], tiny, ""), (own[6], under, ""), ("", under, own[7])]
+    docs = spark.createDataFrame([(i, " ".join(p).strip(), "en", "s", 0, *["clash"] * 7) for i, p in enumerate(parts)], odd.schema)
+    got = {r.doc_id: r.text for r in stages.drop_repeats(spark, docs, sf_dir).collect()}
+    for i, (a, p, b) in enumerate(parts):
+        assert got[i].split() == f"{a} {p if p is under else ''} {b}".split(), i
