@@ -14,7 +14,10 @@ empty table gives an empty result. The driver holds one row per source.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,66 +47,91 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return out
 
 
-def _exact(lengths: list[int], avail: dict[int, int], budget: int) -> dict[int, int]:
+def _exact(lengths: list[int], avail: dict[int, int], budget: int, room: int = 1 << 31) -> dict[int, int]:
     """Bounded knapsack: how many of each length add up to ``budget``, or to
-    the largest smaller sum. Reachable sums are the bits of an integer."""
-    mask, reach, steps = (1 << budget + 1) - 1, 1, []
-    for size in lengths:
-        n, part = min(avail[size], budget // size), 1
-        while n > 0:
-            k = min(part, n)
-            steps.append((size, k, reach))
+    the largest smaller sum. Reachable sums are the bits of an integer; one in
+    ``every`` of them is held, the rest are made again on the way back. Held are
+    ``room`` bits at most: documents beyond that are not looked at."""
+    mask, reach, steps, marks, every = (1 << budget + 1) - 1, 1, [], [], 16
+    n, part = {size: m for size in lengths if (m := min(avail[size], budget // size))}, 1
+    while n and not reach >> budget & 1 and (len(marks) + every + 1) * budget <= room:
+        for size in list(n):  # one of each length, then two more of each, four, ...
+            k = min(part, n[size])
+            if len(steps) % every == 0:
+                marks.append(reach)
+            steps.append((size, k))
             reach |= reach << size * k & mask
-            n, part = n - k, part * 2
-        if reach >> budget & 1:
-            break
+            n[size] -= k
+            if reach >> budget & 1 or (len(marks) + every + 1) * budget > room:
+                break
+        n, part = {size: m for size, m in n.items() if m}, part * 2
     value, take = reach.bit_length() - 1, {}
-    for size, k, before in reversed(steps):
-        if not before >> value & 1:
-            value -= size * k
-            take[size] = take.get(size, 0) + k
+    for at in reversed(range(len(marks))):
+        some, befores = steps[at * every : (at + 1) * every], [marks[at]]
+        for size, k in some[:-1]:
+            befores.append(befores[-1] | befores[-1] << size * k & mask)
+        for (size, k), before in zip(reversed(some), reversed(befores)):
+            if not before >> value & 1:
+                value -= size * k
+                take[size] = take.get(size, 0) + k
     return take
 
 
-def fit(counts: dict[int, int], budget: int, exact_below: int = 1 << 15) -> dict[int, int]:
+def fit(counts: dict[int, int], budget: int, exact_below: int = 1 << 15, seed: int = 17) -> dict[int, int]:
     """How many documents of each length to take so that their lengths add up
     to ``budget`` or as near below it as the counts allow: each length gives its
-    proportional share, the longest ones what brings the rest below
-    ``exact_below``, and the dynamic program the rest."""
+    proportional share, seeded draws by what the shares were rounded down by
+    bring the rest below ``exact_below`` or 16 documents of mean length, and the
+    dynamic program finds the rest. Where it finds no exact sum, the shares are
+    of less and less of the budget, until the program has all of it or as much
+    as its table has room for; the nearest sum counts."""
     counts = {k: n for k, n in counts.items() if k > 0 and n > 0}
     total = sum(k * n for k, n in counts.items())
     budget = max(0, min(budget, total))
     if budget == total:
         return counts
-    take = {k: n * budget // total for k, n in counts.items()}
-    left = budget - sum(k * n for k, n in take.items())
-    avail = {k: counts[k] - take[k] for k in counts}
-    for k in sorted(avail, reverse=True):
-        if left <= exact_below:
-            break
-        m = min(avail[k], max(0, left - exact_below // 2) // k)
-        take[k] += m
-        avail[k] -= m
-        left -= m * k
-    if 0 < left:
-        small = sorted((k for k in avail if avail[k] and k <= left), reverse=True)
-        if left > exact_below:  # few, very long lengths: what is left exceeds every table
-            for k in small:
-                m = min(avail[k], left // k)
-                take[k] += m
-                left -= m * k
-        else:
-            for k, m in _exact(small, avail, left).items():
-                take[k] += m
-    return take
-
-
-def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
+    unit = math.gcd(*counts)
+    if unit > 1:
+        return {k * unit: n for k, n in fit({k // unit: n for k, n in counts.items()}, budget // unit, exact_below, seed).items()}
+    draw = {k: (xxhash.xxh64_intdigest(str(k), seed) + 1) / 2**64 for k in counts}
+    below, kept, best, most = max(exact_below, 16 * total // sum(counts.values())), 0, {}, -1
+    while True:
+        share = max(0, budget - kept)
+        take = {k: n * share // total for k, n in counts.items()}
+        left = budget - sum(k * n for k, n in take.items())
+        avail = {k: counts[k] - take[k] for k in counts}
+        # Of a length with the rest r one document more is taken with a chance that grows with r.
+        rest = {k: n * share % total or 1 for k, n in counts.items()}
+        order = sorted((k for k in avail if avail[k]), key=lambda k: (draw[k] / rest[k], k))
+        for k in order:
+            if left <= kept + below:
+                break
+            m = min(1, max(0, left - kept - below // 2) // k)
+            take[k] += m
+            avail[k] -= m
+            left -= m * k
+        for k, m in _exact([k for k in order if avail[k]], avail, left).items():
+            take[k] += m
+            avail[k] -= m
+            left -= m * k
+        for k in order:  # where the table had no room for all
+            m = min(avail[k], left // k)
+            take[k] += m
+            left -= m * k
+        got = budget - left
+        if got > most:
+            best, most = take, got
+        if most == budget or kept >= budget or 17 * (kept + below) > 1 << 31:
+            return best
+        kept = 16 * max(kept, below)
+
+
+def _choose(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     """Epochs and partial take for the lengths of one source."""
     size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
     epochs = int(target // size) if size else 0
     rest = round(target - epochs * size) if size else 0
-    take = fit(dict(zip(pdf["size"].tolist(), pdf["n"].tolist())), rest)
+    take = fit(dict(zip(pdf["size"].tolist(), pdf["n"].tolist())), rest, seed=seed)
     return pdf.assign(epochs=epochs, k=[take.get(s, 0) for s in pdf["size"].tolist()])
 
 
@@ -126,7 +154,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0,
     goal = targets(sizes, weights, cap, share)
     plan = spark.createDataFrame([(s, sizes[s], float(goal[s])) for s in sizes], "source string, source_size long, target double")
     chosen = lengths.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    chosen = chosen.groupBy("source").applyInPandas(_choose, "source string, size long, n long, source_size long, target double, epochs long, k long")
+    chosen = chosen.groupBy("source").applyInPandas(lambda pdf: _choose(pdf, seed), "source string, size long, n long, source_size long, target double, epochs long, k long")
     chosen = shared.stage(chosen, "chosen").select(F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "epochs", "k", F.col("n").alias("of"))
     # The k smallest hashes of each (source, size): ranked within 4096 ranges of the
     # hash, whose counts add up before, so that a frequent length is no single task's.

@@ -180,6 +180,37 @@ def test_knapsack_reaches_what_can_be_reached():
     assert sum(k * n for k, n in take.items()) == max(s for s in sums if s <= 117)
 
 
+@pytest.mark.parametrize("counts, budget", [({50_000: 1, 60_000: 1, 70_000: 1}, 110_000), ({100: 10_000, 150_001: 1}, 750_001), ({100_000: 2, 70_001: 3, 6: 1}, 310_009)])
+def test_fit_of_long_documents(counts, budget):
+    take = mixing.fit(counts, budget)
+    assert all(take.get(k, 0) <= n for k, n in counts.items())
+    sums = {0}
+    for k, n in counts.items():
+        sums = {s + k * i for s in sums for i in range(n + 1)}
+    assert sum(k * n for k, n in take.items()) == max(s for s in sums if s <= budget)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_fit_of_few_long_documents_is_the_best(seed):
+    rng = random.Random(seed)
+    lengths = [rng.randint(30_000, 90_000) for _ in range(9)]
+    counts = Counter(lengths)
+    sums = {0}
+    for k in lengths:
+        sums |= {s + k for s in sums}
+    budget = rng.randint(0, sum(lengths))
+    assert sum(k * n for k, n in mixing.fit(counts, budget).items()) == max(s for s in sums if s <= budget)
+
+
+def test_fit_takes_lengths_alike():
+    counts = {k: 1 for k in range(1000, 3000)}
+    budget = sum(counts) // 3
+    taken = [[k for k, n in mixing.fit(counts, budget, seed=s).items() if n] for s in (1, 2)]
+    assert taken[0] != taken[1]
+    for t in taken:
+        assert sum(t) == budget and 1900 < sum(t) / len(t) < 2100
+
+
 def test_mix(odd, odd_rows, nothing):
     got = mixing.mix(odd).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(odd).collect()))
