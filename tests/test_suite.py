@@ -51,3 +51,9 @@ def test_same_order(spark, sf_dir, oracle, name):
     got, want = suite.queries()[name](spark, sf_dir), oracle.sql(suite.SQL[name])
     order = got.columns
     assert [tuple(map(cell, r)) for r in got.collect()] == [tuple(cell(r[want.columns.index(c)]) for c in order) for r in want.fetchall()]
+
+
+@pytest.mark.parametrize("name, tables", [("casts", ["lineitem"]), ("join_cross", ["region", "nation"])])
+def test_whole_tables(spark, sf_dir, oracle, name, tables):
+    want = math.prod(oracle.sql(f"SELECT count(*) FROM {t}").fetchall()[0][0] for t in tables)
+    assert suite.queries()[name](spark, sf_dir).count() == want
