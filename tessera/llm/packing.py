@@ -5,10 +5,13 @@ has at most ``capacity`` bins however many documents there are. The driver
 solves the configuration LP over that histogram: multiplicative weights hold a
 price for each length, a knapsack dynamic program over the capacity prices the
 best next pattern, and a length that has been served gets cheaper. The
-fractional pattern counts are rounded down against what is left, and the rest
-goes into bins by best fit in bulk, so the work depends on the histogram
-alone. Pieces then find their places by their rank among the pieces of equal
-length; no group of equal lengths ever meets in one task.
+fractional pattern counts are rounded down against what is left; what this
+leaves is rounded by diving: the weights go on over the rest, the knapsack now
+takes no length more often than it is left, and each pattern it prices is fixed
+as often as the counts allow. Best fit places the last few sequences' worth.
+The work depends on the histogram alone. Pieces then find their places by their
+rank among the pieces of equal length; no group of equal lengths ever meets in
+one task.
 
 Defined results: a null text is empty and still has its end id; a null doc_id
 passes through; repeated rows are packed as often as they occur; an empty table
@@ -58,24 +61,26 @@ def _trace(lengths: np.ndarray, last: np.ndarray, c: int) -> dict[int, int]:
     return out
 
 
-def _fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, eps: float, near: int, gap: float = 0.005) -> tuple[list[tuple[dict[int, int], float]], np.ndarray, float]:
+def _fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, eps: float, near: int, gap: float = 0.005, slack: float = 0.05) -> tuple[list[tuple[dict[int, int], float]], np.ndarray, np.ndarray, float]:
     """Multiplicative weights for the configuration LP: patterns with fractional
-    multiplicities, how far they cover each length, and a lower bound of the LP
+    multiplicities, how far they cover each length, the prices, and a lower bound of the LP
     (any prices over the value of their best pattern are a dual solution).
 
     A round prices once. Besides the best pattern it takes those that end at the
     ``near`` next smaller capacities, share no length with one taken before and
-    are worth at least 1 - eps of the best; each is used as often as its scarcest
+    are worth at least 1 - ``slack`` of the best; each is used as often as its scarcest
     length allows, and what it serves gets cheaper by that share. The search
     ends when the scaled solution is within ``gap`` of the bound."""
     prices, cover, lower = lengths / capacity, np.zeros(len(lengths)), 0.0
+    dual = prices.copy()
     found: dict[tuple, float] = {}
     for _ in range(rounds):
         best, last = _knapsack(lengths, prices, capacity)
-        lower = max(lower, float((counts * prices).sum() / best[capacity]))
+        if (bound := float((counts * prices).sum() / best[capacity])) > lower:
+            lower, dual = bound, prices.copy()
         used: set[int] = set()
         for c in range(capacity, max(0, capacity - near), -1):
-            if best[c] < (1 - eps) * best[capacity]:
+            if best[c] < (1 - slack) * best[capacity]:
                 break
             p = _trace(lengths, last, c)
             if not p or used & p.keys():
@@ -89,7 +94,7 @@ def _fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds:
                 prices[i] *= np.exp(-eps * n * step / counts[i])
         if (least := cover.min()) > 0 and sum(found.values()) / least <= (1 + gap) * lower:
             break
-    return [(dict(k), x) for k, x in found.items()], cover, lower
+    return [(dict(k), x) for k, x in found.items()], cover, dual, lower
 
 
 def _best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
@@ -134,29 +139,90 @@ def _best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tu
     return list(out.items())
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 200, eps: float = 0.05, near: int = 64) -> list[tuple[Pattern, int]]:
-    """Patterns and how many sequences follow each; uses every piece once. The
-    LP solution is rounded down at a few scales, best fit takes the rest, and
-    the fewest sequences win (best fit alone among them)."""
-    full: list[tuple[Pattern, int]] = [(((capacity, 1),), n)] if (n := histogram.get(capacity)) else []
+def _bounded_knapsack(lengths: np.ndarray, counts: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parcels of equal pieces (length's index, how many), and for each parcel and
+    capacity whether the best that fills it exactly, with the parcels so far and
+    at most ``counts`` pieces of each length, ends with this one."""
+    parcels = []
+    for i, n in enumerate(np.minimum(counts, capacity // lengths).tolist()):
+        k = 1
+        while n:
+            parcels.append((i, min(k, n)))
+            n, k = n - min(k, n), 2 * k
+    index, times = np.array(parcels, dtype=np.int64).T
+    best = np.full(capacity + 1, -np.inf)
+    best[0], used = 0.0, np.zeros((len(parcels), capacity + 1), dtype=bool)
+    for row, w, value in zip(used, (times * lengths[index]).tolist(), (times * prices[index]).tolist()):
+        new = best[: capacity + 1 - w] + value
+        np.greater(new, best[w:], out=row[w:])
+        np.maximum(best[w:], new, out=best[w:])
+    return index, times, used
+
+
+def _dive(lengths: np.ndarray, left: np.ndarray, prices: np.ndarray, capacity: int, eps: float, tail: int, slack: float = 0.004) -> list[tuple[dict[int, int], int]]:
+    """Patterns for what rounding has left, each with a whole multiplicity, until
+    about ``tail`` sequences are left. Each pricing gives, for every longest piece
+    that a pattern may have, the best pattern that fills a sequence, and those
+    worth nearly as much as the best of all are taken; where none is full any
+    more, the next smaller sum is. Of patterns of one price those with the longer
+    pieces come first: short ones are of more use later."""
+    out: list[tuple[dict[int, int], int]] = []
+    prices = prices / max(1e-300, float((prices / lengths).max())) * (1 + 0.02 * lengths / capacity)
+    fill = capacity
+    while fill and (lengths * left).sum() > tail * capacity:
+        some = np.flatnonzero(left)
+        index, times, used = _bounded_knapsack(lengths[some], left[some], prices[some], fill)
+        weight, value, done, top = times * lengths[some][index], times * prices[some][index], 0, 0.0
+        for end in np.flatnonzero(used[:, fill])[::-1].tolist():
+            c, stop, p, worth = fill, end + 1, {}, 0.0
+            while c:
+                stop = int(np.flatnonzero(used[:stop, c])[-1])
+                i = int(some[index[stop]])
+                p[i] = p.get(i, 0) + int(times[stop])
+                c -= int(weight[stop])
+                worth += float(value[stop])
+            top = max(top, worth)
+            if worth < (1 - slack) * top:  # and so are all with a shorter longest piece
+                break
+            m = min(int(left[i]) // n for i, n in p.items())
+            if not m:
+                continue
+            done += 1
+            out.append((p, m))
+            for i, n in p.items():
+                prices[i] *= np.exp(-eps * n * m / left[i])
+                left[i] -= m * n
+        if not done:
+            fill = int(np.flatnonzero(used[:, :fill].any(0)).max(initial=0))
+    return out
+
+
+def solve(histogram: dict[int, int], capacity: int, rounds: int = 200, eps: float = 0.05, near: int = 64, tail: int = 12) -> tuple[list[tuple[Pattern, int]], list[tuple[Pattern, int]]]:
+    """Patterns of the LP for pieces below ``capacity`` and how many sequences
+    follow each, and those that best fit adds for the rest; together they use
+    every piece once."""
     lengths = np.array(sorted(k for k, n in histogram.items() if n and k < capacity), dtype=np.int64)
     counts = np.array([histogram[k] for k in lengths.tolist()], dtype=np.int64)
     if not len(lengths):
-        return full
-    solution, cover, _ = _fractional(lengths, counts, capacity, rounds, eps, near)
-    solution.sort(key=lambda y: -y[1])
-    candidates = [_best_fit(lengths, counts, capacity)]
-    reached = cover[cover > 0]
-    for scale in {1 / reached.min(), 1 / np.median(reached), float((lengths * counts).sum() / (lengths * counts * cover).sum())}:
-        left, out = counts.copy(), []
-        for p, x in solution:
-            if (m := min(int(x * scale), *(int(left[i]) // n for i, n in p.items()))) > 0:
-                for i, n in p.items():
-                    left[i] -= m * n
-                out.append((tuple(sorted(((int(lengths[i]), n) for i, n in p.items()), reverse=True)), m))
-        some = left > 0
-        candidates.append(out + _best_fit(lengths[some], left[some], capacity))
-    return full + min(candidates[1:] + candidates[:1], key=lambda y: sum(m for _, m in y))
+        return [], []
+    solution, cover, prices, _ = _fractional(lengths, counts, capacity, rounds, eps, near)
+    left, found = counts.copy(), []
+    scale = 1 / cover[cover > 0].min() if (cover > 0).all() else 1 / np.median(cover[cover > 0])
+    for p, x in sorted(solution, key=lambda y: -y[1]):
+        if (m := min(int(x * scale), *(int(left[i]) // n for i, n in p.items()))) > 0:
+            for i, n in p.items():
+                left[i] -= m * n
+            found.append((p, m))
+    found += _dive(lengths, left, prices, capacity, eps, tail)
+    named = [(tuple(sorted(((int(lengths[i]), n) for i, n in p.items()), reverse=True)), m) for p, m in found]
+    return named, _best_fit(lengths[left > 0], left[left > 0], capacity)
+
+
+def plan(histogram: dict[int, int], capacity: int, **options) -> list[tuple[Pattern, int]]:
+    """Patterns and how many sequences follow each; uses every piece once."""
+    full: list[tuple[Pattern, int]] = [(((capacity, 1),), n)] if (n := histogram.get(capacity)) else []
+    by_program, rest = solve(histogram, capacity, **options)
+    return full + by_program + rest
 
 
 def _places(patterns: list[tuple[Pattern, int]]) -> np.ndarray:
