@@ -5,7 +5,8 @@ words it has seen many times before.  :class:`ChunkEncoder` cuts a text at
 places where the tokenizer's own pre-tokenizer always cuts, remembers the ids
 of each chunk, and lets the library encode the chunks it has not met yet.  The
 ids equal those of ``encode`` on the whole text; a tokenizer whose rules are
-not known to allow such cuts is simply run on whole texts.
+not known to allow such cuts, and any on a text that holds one of its added
+tokens literally, is simply run on whole texts.
 """
 
 from __future__ import annotations
@@ -45,11 +46,12 @@ class ChunkEncoder:
 
         path = resolve(path)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.limit = limit
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"].get("vocab") or {}
+        added = spec.get("added_tokens") or []
+        self.added = [t["content"] for t in added]  # taken out of a text before it is cut: such texts are encoded whole
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was known before memo was last begun anew
@@ -58,7 +60,9 @@ class ChunkEncoder:
         self.tails: dict[str, bytes] = {}
         self.mode = "whole"
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
+        if any(t["normalized"] for t in added):
+            pass
+        elif pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
             self.mode = "byte"
             self.widths = np.zeros(max(vocab.values(), default=0) + 1, dtype=np.int64)
             for token, i in vocab.items():
@@ -155,12 +159,11 @@ class ChunkEncoder:
             self.older, self.memo = self.memo, {}
         get, loose = self.memo.get, self.loose
         for i, t in enumerate(texts):
-            if self.mode == "word":
-                if _INFO_SEPARATORS.search(t):
-                    odd[i] = self._whole(t)
-                    p = []
-                else:
-                    p = t.split()
+            if any(x in t for x in self.added) or self.mode == "word" and _INFO_SEPARATORS.search(t):
+                odd[i] = self._whole(t)
+                p = []
+            elif self.mode == "word":
+                p = t.split()
             else:
                 p = t.split(" ")
                 heads[i] = self._head(p.pop(0))
