@@ -81,10 +81,10 @@ class Ftrl:
 _SAMPLE = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("buckets", pa.binary())])
 
 
-def train(labelled: DataFrame, updates: int = 64_000, bits: int = 20, seed: int = 3, **rates) -> tuple[int, float, np.ndarray, np.ndarray]:
+def train(labelled: DataFrame, passes: int = 4, bits: int = 20, seed: int = 3, **rates) -> tuple[int, float, np.ndarray, np.ndarray]:
     """A model from the bounded sample ``labelled`` (doc_id, text, label 0 or 1),
-    which becomes bucket lists on the executors. The driver goes over these 4 to
-    20 times, for about ``updates`` updates, in an order fixed by the seed."""
+    which becomes bucket lists on the executors. The driver goes over these
+    ``passes`` times, in an order fixed by the seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,7 +96,7 @@ def train(labelled: DataFrame, updates: int = 64_000, bits: int = 20, seed: int
     ids, labels, buckets = got["doc_id"].to_pylist(), got["label"].to_pylist(), got["buckets"]
     order = sorted(range(len(ids)), key=lambda i: (xxhash.xxh64_intdigest(str(ids[i]), seed), labels[i], zlib.crc32(buckets[i].as_buffer())))
     learner = Ftrl(bits, **rates)
-    for _ in range(min(20, max(4, updates // len(order)))):
+    for _ in range(passes):
         for i in order:
             learner.update(np.frombuffer(buckets[i].as_buffer(), dtype="<i4"), labels[i])
     return learner.model()
