@@ -27,7 +27,8 @@ def main(argv: list[str] | None = None) -> int:
         elif args.output:
             engine.write(sql, args.output, args.format)
         else:
-            print(engine.run(sql, args.limit))
+            for line in engine.lines(sql, args.limit):
+                print(line)
     except EngineError as e:
         print(f"{e.kind}: {e}", file=sys.stderr)
         return -e.code

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,11 +56,17 @@ class Engine:
         return {"sql": self.translate(sql), "schema": json.loads(df.schema.json()), "sources": {s.name: list(s.paths) for s in self.catalog.by_name.values()}, "plan": self.explain(sql)}
 
     def run(self, sql: str, limit: int | None = None) -> str:
-        """The result as text."""
+        """The result as text, for results of up to 100,000 rows."""
         df = self.sql(sql)
         with engine_errors():
             return sinks.render(df, limit)
 
+    def lines(self, sql: str, limit: int | None = None) -> Iterator[str]:
+        """The result as lines of text, however many."""
+        df = self.sql(sql)
+        with engine_errors():
+            yield from sinks.lines(df, limit)
+
     def write(self, sql: str, path: str, format: str = "parquet", **options) -> None:
         """Writes the result as Parquet or CSV files."""
         df = self.sql(sql)

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import DoubleType, FloatType, IntegralType
 
 from ..errors import InvalidInput
 from .joins import join
@@ -25,8 +25,11 @@ MAX_VALUES = 256
 MAX_MATCH = 0.5
 MAX_SELECTIVITY = 0.2
 MAX_CHAIN = 2
+MAX_PASS = 0.9  # a Bloom filter that lets more of a probe's first rows pass is not used
+PROBE_ROWS = 10_000
 BITS_PER_KEY = 10  # about 1 % false positives
 MAX_BLOOM_BYTES = 4 << 20
+FIRST_BITS = 1 << 23  # of a filter that is built before the number of keys is known
 
 #: Kinds whose unmatched rows are dropped, by the side that may be filtered.
 _FILTERS_LEFT = frozenset(("inner", "semi", "right_semi", "right"))
@@ -59,6 +62,19 @@ class BloomFilter:
         rows = df.filter(F.col(key).isNotNull()).select(h.alias("h"))
         return BloomFilter(_bytes(df.sparkSession, rows._jdf.stat().bloomFilter("h", max(1, keys), bits)), bits, kind)
 
+    @staticmethod
+    def column(df: DataFrame, key: str, bits: int) -> Column:
+        """The same as an aggregate, for one pass with other aggregates; null
+        without keys."""
+        from pyspark.sql.classic.column import Column as Classic
+
+        jvm = df.sparkSession._jvm
+        bridge = jvm.org.apache.spark.sql.classic.ExpressionUtils
+        h = F.when(F.col(key).isNotNull(), _hash(df, key)[0])
+        parts = (h, F.lit(max(1, bits // BITS_PER_KEY)).cast("long"), F.lit(bits).cast("long"))
+        bloom = jvm.org.apache.spark.sql.catalyst.expressions.aggregate.BloomFilterAggregate(*(bridge.expression(x._jc) for x in parts))
+        return Classic(bridge.column(bloom.toAggregateExpression()))
+
     def merge(self, spark: SparkSession, other: BloomFilter) -> BloomFilter:
         """The union of two filters of one size and kind."""
         if (self.bits, self.kind) != (other.bits, other.kind):
@@ -96,53 +112,92 @@ class DynamicFilter:
     values: tuple | None
     distinct: int
     bloom: BloomFilter | None = None
+    kind: str | None = None
 
     def merge(self, other: DynamicFilter, max_values: int = MAX_VALUES) -> DynamicFilter:
-        """The filter for the union of two build sides."""
+        """The filter for the union of two build sides; Bloom filters of one size
+        unite, and values join the other side's."""
         if not self.distinct or not other.distinct:
             return other if not self.distinct else self
         values = None
         if self.values is not None and other.values is not None:
             values = tuple(sorted(set(self.values) | set(other.values)))
-        many = values is None or len(values) > max_values
-        return DynamicFilter(min(self.low, other.low), max(self.high, other.high), None if many else values, self.distinct + other.distinct if many else len(values))
+        low, high = min(self.low, other.low), max(self.high, other.high)
+        if values is not None and len(values) <= max_values:
+            return DynamicFilter(low, high, values, len(values), None, self.kind)
+        return DynamicFilter(low, high, None, self.distinct + other.distinct, self._union(other), self.kind)
+
+    def _union(self, other: DynamicFilter) -> BloomFilter | None:
+        spark = SparkSession.getActiveSession()
+        bits = next((x.bloom.bits for x in (self, other) if x.bloom is not None), FIRST_BITS)
+        blooms = []
+        for x in (self, other):
+            if x.bloom is None and x.values is not None and x.kind is not None and spark is not None:
+                keys = spark.createDataFrame([(v,) for v in x.values], f"k {x.kind}")
+                blooms.append(BloomFilter(bytes(keys.agg(BloomFilter.column(keys, "k", bits)).first()[0]), bits, _hash(keys, "k")[1]))
+            else:
+                blooms.append(x.bloom)
+        if None in blooms or (blooms[0].bits, blooms[0].kind) != (blooms[1].bits, blooms[1].kind):
+            return None
+        return blooms[0].merge(spark, blooms[1])
 
-    def apply(self, probe: DataFrame, key: str) -> DataFrame:
-        """Rows of ``probe`` that may have a partner; null keys have none."""
+    def condition(self, probe: DataFrame, key: str) -> Column:
+        """Whether a row of ``probe`` may have a partner; null keys have none."""
         if not self.distinct:
-            return probe.filter(F.lit(False))
+            return F.lit(False)
         if self.values is not None:
-            return probe.filter(F.col(key).isin(list(self.values)))
-        out = probe.filter(F.col(key).between(self.low, self.high))
+            return F.col(key).isin(list(self.values))
+        out = F.col(key).between(self.low, self.high)
         if self.bloom is not None and _hash(probe, key)[1] == self.bloom.kind:
-            out = out.filter(self.bloom.might_contain(probe, key))
+            out = out & self.bloom.might_contain(probe, key)
         return out
 
+    def apply(self, probe: DataFrame, key: str) -> DataFrame:
+        """Rows of ``probe`` that may have a partner."""
+        return probe.filter(self.condition(probe, key))
+
+    def share(self, probe: DataFrame, key: str, rows: int = PROBE_ROWS) -> float:
+        """How much of the first ``rows`` rows of ``probe`` passes."""
+        some = probe.select(key).limit(rows)
+        n, passed = some.agg(F.count("*"), F.count_if(self.condition(some, key))).first()
+        return passed / n if n else 0.0
+
 
 def build(df: DataFrame, key: str, max_values: int = MAX_VALUES) -> DynamicFilter:
-    """One pass over the key column: bounds, an estimate of the distinct keys,
-    and at most ``max_values`` + 1 of them."""
-    k = df.select(F.col(key).alias("k")).filter("k IS NOT NULL")
-    low, high, n = k.agg(F.min("k"), F.max("k"), F.approx_count_distinct("k")).first()
+    """One pass over the key column: bounds, an estimate of the distinct keys and a
+    Bloom filter. Few keys are then read in a second one as a list; so many that
+    the filter is too small for them get a larger one, or none."""
+    kind = df.schema[key].dataType
+    floating = isinstance(kind, (DoubleType, FloatType))  # bounds only: equality of floats is no key
+    bloom = F.lit(None) if floating else BloomFilter.column(df, key, FIRST_BITS)
+    low, high, n, raw = df.agg(F.min(key), F.max(key), F.approx_count_distinct(key), bloom).first()
+    name = kind.simpleString()
     if low is None:
-        return DynamicFilter(None, None, (), 0)
-    floating = isinstance(low, float)  # bounds only: equality of floats is no key
-    values = None if floating or n > 2 * max_values else [r[0] for r in k.distinct().limit(max_values + 1).collect()]
-    if values is not None and len(values) <= max_values:
-        return DynamicFilter(low, high, tuple(sorted(values)), len(values))
-    return DynamicFilter(low, high, None, n, None if floating else BloomFilter.build(df, key, n))
+        return DynamicFilter(None, None, (), 0, None, name)
+    if floating:
+        return DynamicFilter(low, high, None, n, None, name)
+    if n <= 2 * max_values:
+        values = [r[0] for r in df.select(key).filter(F.col(key).isNotNull()).distinct().limit(max_values + 1).collect()]
+        if len(values) <= max_values:
+            return DynamicFilter(low, high, tuple(sorted(values)), len(values), None, name)
+    if n * BITS_PER_KEY > FIRST_BITS:
+        return DynamicFilter(low, high, None, n, BloomFilter.build(df, key, n), name)
+    return DynamicFilter(low, high, None, n, BloomFilter(bytes(raw), FIRST_BITS, _hash(df, key)[1]), name)
 
 
 def transfer(build_side: DataFrame, build_key: str, probe: DataFrame, probe_key: str, semi: bool = False, domain: int | None = None, probe_rows: int | None = None, max_values: int = MAX_VALUES) -> DataFrame:
     """``probe`` without rows that cannot match. With the number of distinct
     keys in the whole domain, or of probe rows, a filter that would let too much
-    pass is not applied. ``semi`` makes a filter without all values exact by a
+    pass is not applied, nor is a Bloom filter that over ``MAX_PASS`` of the
+    probe's first rows pass. ``semi`` makes a filter without all values exact by a
     semi join on the distinct keys, broadcast only if Spark finds them small."""
     f = build(build_side, build_key, max_values)
     if domain is not None and f.distinct > MAX_MATCH * domain:
         return probe
     if domain is None and probe_rows is not None and f.distinct > MAX_SELECTIVITY * probe_rows:
         return probe
+    if f.bloom is not None and f.share(probe, probe_key) > MAX_PASS:
+        return probe
     out = f.apply(probe, probe_key)
     if f.values is None and semi:
         keys = build_side.select(F.col(build_key).alias("__k")).distinct()

@@ -26,6 +26,9 @@ _T = "t AS (SELECT * FROM (VALUES (1), (2), (3), (8), (CAST(NULL AS INTEGER))) A
 _S = "s AS (SELECT * FROM (VALUES (2), (CAST(NULL AS INTEGER))) AS v(y))"
 _ORD = "ord AS (SELECT * FROM (VALUES (1, 10, 100, 'east'), (2, 10, 50, 'east'), (3, 20, 30, 'west'), (4, 30, 70, 'west'), (5, 20, 25, 'east'), (6, 10, 0, 'north'), (7, 30, 12, 'south'), (8, 40, 200, 'west')) AS v(o_id, cust, amount, region))"
 _CUS = "cus AS (SELECT * FROM (VALUES (10, 'alice', 1), (20, 'bob', 2), (30, 'carol', 1), (50, 'dave', 3)) AS v(c_id, name, tier))"
+#: The same shape from whole tables: null and frequent keys, and keys without a partner on either side.
+_ORDERS = "ord AS (SELECT o_orderkey AS o_id, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS cust, o_totalprice AS amount FROM orders)"
+_CUSTOMERS = "cus AS (SELECT c_custkey + 100 AS c_id, c_name AS name, c_nationkey AS tier FROM customer)"
 _TIER = "tiers AS (SELECT * FROM (VALUES (1, 'gold'), (2, 'silver'), (3, 'bronze')) AS v(t_id, label))"
 
 SQL = {
@@ -85,6 +88,12 @@ SQL = {
     "join_left_residual": f"WITH {_ORD}, {_CUS} SELECT o_id, name FROM ord LEFT JOIN cus ON cust = c_id AND amount > tier * 40",
     "join_full_residual": f"WITH {_ORD}, {_CUS} SELECT o_id, name FROM ord FULL JOIN cus ON cust = c_id AND amount > 40",
     "join_semi_residual": "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_extendedprice > o_totalprice)",
+    "join_left_whole": f"WITH {_ORDERS}, {_CUSTOMERS} SELECT o_id, cust, name FROM ord LEFT JOIN cus ON cust = c_id AND amount > tier * 9000",
+    "join_right_whole": f"WITH {_ORDERS}, {_CUSTOMERS} SELECT o_id, c_id, name FROM ord RIGHT JOIN cus ON cust = c_id",
+    "join_full_whole": f"WITH {_ORDERS}, {_CUSTOMERS} SELECT o_id, cust, c_id, name FROM ord FULL OUTER JOIN cus ON cust = c_id AND amount > 50000",
+    "join_theta_whole": "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_acctbal > c_acctbal + 9800",
+    "join_theta_left_whole": "SELECT s_suppkey, n_nationkey FROM supplier LEFT JOIN nation ON s_acctbal > n_nationkey * 400 AND s_nationkey < n_nationkey",
+    "aggregate_error_guard": "SELECT l_returnflag, CAST(sum(CASE WHEN l_quantity < 0 THEN CAST(error('a negative quantity') AS INTEGER) ELSE l_linenumber END) AS BIGINT) AS s FROM lineitem GROUP BY l_returnflag",
     "join_or_condition": f"WITH {_ORD}, {_CUS} SELECT o_id, name FROM ord JOIN cus ON (cust = c_id AND amount > 60) OR (cust = c_id AND tier = 2)",
     "join_theta": f"WITH {_ORD}, {_CUS} SELECT o_id, name FROM ord JOIN cus ON amount < c_id",
     "join_theta_left": f"WITH {_ORD}, {_CUS} SELECT o_id, name FROM ord LEFT JOIN cus ON amount < c_id - 20",
@@ -154,13 +163,9 @@ def _read(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
 
 
-def _ordcus(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    engine = Engine(spark)
-    return engine.sql(f"WITH {_ORD} SELECT * FROM ord"), engine.sql(f"WITH {_CUS} SELECT * FROM cus")
-
-
-def _kind(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _ordcus(spark)
+def _kind(kind: str, tables: tuple[str, str], spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _engine(spark, sf_dir, "".join(tables))
+    a, b = engine.sql(f"WITH {tables[0]} SELECT * FROM ord"), engine.sql(f"WITH {tables[1]} SELECT * FROM cus")
     residual = (a["amount"] > 20) if kind in ("inner", "left", "semi", "anti") else None
     return O.join(a, b, [("cust", "c_id")], kind, residual)
 
@@ -168,8 +173,8 @@ def _kind(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 _ON = {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "outer": "FULL JOIN"}
 
 
-def _kind_sql(kind: str) -> str:
-    cte = f"WITH {_ORD}, {_CUS} "
+def _kind_sql(kind: str, tables: tuple[str, str]) -> str:
+    cte = f"WITH {tables[0]}, {tables[1]} "
     if kind in _ON:
         return f"{cte}SELECT * FROM ord {_ON[kind]} cus ON cust = c_id" + (" AND amount > 20" if kind in ("inner", "left") else "")
     return cte + {
@@ -262,13 +267,33 @@ def _split(spark, d):
     return O.aggregate(split, ["o_custkey"], [O.Aggregate("count_star", name="n")])
 
 
+def _gather(spark, d):
+    (nation,) = _read(spark, d, "nation")
+    return O.gather(O.aggregate(nation, ["n_regionkey"], [O.Aggregate("count_star", name="n")]))
+
+
+def _sum_no_overflow(spark, d):
+    (li,) = _read(spark, d, "lineitem")
+    return O.aggregate(li, ["l_returnflag"], [O.Aggregate("sum_no_overflow", "l_linenumber", name="s")])
+
+
+def _text(spark, d):
+    """A result rendered as text, a row for each line."""
+    text = _engine(spark, d, "nation").run("SELECT n_nationkey, n_name, CASE WHEN n_regionkey > 3 THEN n_regionkey END AS region FROM nation")
+    return spark.createDataFrame([(x,) for x in text.split("\n")], "line string")
+
+
 def _constants(spark, d):
     t = O.constants(spark, [(1, "a"), (2, None)], "k int, v string")
     return O.cross(t, O.constants(spark, [(True,)], "b boolean"))
 
 
 API: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
-    **{f"api_join_{k}": (partial(_kind, k), _kind_sql(k)) for k in O.KINDS},
+    **{f"api_join_{k}": (partial(_kind, k, (_ORD, _CUS)), _kind_sql(k, (_ORD, _CUS))) for k in O.KINDS},
+    **{f"api_join_{k}_whole": (partial(_kind, k, (_ORDERS, _CUSTOMERS)), _kind_sql(k, (_ORDERS, _CUSTOMERS))) for k in O.KINDS},
+    "api_gather": (_gather, "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey"),
+    "api_sum_no_overflow": (_sum_no_overflow, "SELECT l_returnflag, CAST(sum(l_linenumber) AS BIGINT) AS s FROM lineitem GROUP BY l_returnflag"),
+    "sink_text": (_text, "SELECT 'n_nationkey' || chr(9) || 'n_name' || chr(9) || 'region' AS line UNION ALL SELECT CAST(n_nationkey AS VARCHAR) || chr(9) || n_name || chr(9) || CASE WHEN n_regionkey > 3 THEN CAST(n_regionkey AS VARCHAR) ELSE 'NULL' END FROM nation"),
     "api_mark_join_large": (_mark_large, "SELECT o_orderkey, o_custkey, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) AS rich FROM orders"),
     "api_aggregate": (_aggregate_api, "SELECT l_returnflag, year(l_shipdate) AS y, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS s, round(avg(l_quantity), 6) AS a, count(DISTINCT l_suppkey) AS d, max(l_shipdate) AS hi FROM lineitem GROUP BY l_returnflag, year(l_shipdate) HAVING count(*) > 10"),
     "api_top_n": (_top_api, "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 12 OFFSET 3"),

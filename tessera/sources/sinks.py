@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 
 from ..errors import InvalidInput
 
 ROW_GROUP_ROWS = 122_880
+MAX_RENDERED_ROWS = 100_000
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",", mode: str = "errorifexists", one_file: bool = False) -> None:
@@ -25,11 +28,22 @@ def write_parquet(df: DataFrame, path: str, compression: str = "snappy", mode: s
     df.write.mode(mode).option("compression", compression).option("maxRecordsPerFile", max_rows).parquet(path)
 
 
-def render(df: DataFrame, limit: int | None = None) -> str:
-    """Rows as text separated by tabs, the names once on top; null is NULL."""
-    rows = (df if limit is None else df.limit(limit)).toLocalIterator()
+def lines(df: DataFrame, limit: int | None = None) -> Iterator[str]:
+    """Rows as text separated by tabs, the names once on top; null is NULL. The
+    driver holds a partition at a time."""
 
     def cell(v) -> str:
         return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v)
 
-    return "\n".join(["\t".join(df.columns), *("\t".join(map(cell, r)) for r in rows)])
+    yield "\t".join(df.columns)
+    for row in (df if limit is None else df.limit(limit)).toLocalIterator():
+        yield "\t".join(map(cell, row))
+
+
+def render(df: DataFrame, limit: int | None = None, most: int = MAX_RENDERED_ROWS) -> str:
+    """The lines of a result as one string; one of over ``most`` rows is an error,
+    as it belongs in files."""
+    out = list(lines(df.limit(most + 1) if limit is None else df.limit(min(limit, most + 1))))
+    if len(out) > most + 1:
+        raise InvalidInput(f"a result of over {most} rows: write it to files, or read its lines one by one")
+    return "\n".join(out)

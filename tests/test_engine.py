@@ -221,11 +221,27 @@ def test_filters_merge(spark):
     assert a.values == (0, 1, 2, 3, 4) and b.values is None
     m = a.merge(b)
     assert (m.low, m.high, m.values) == (0, 299, None)
+    for union in (m, b.merge(a), b.merge(O.build(spark.range(1000, 1300), "id"))):
+        held = {r.id for r in union.apply(spark.range(2000), "id").collect()}
+        assert set(range(3, 300)) <= held and len(held) < 700
+    assert {0, 1, 2} <= {r.id for r in m.apply(spark.range(2000), "id").collect()}
     none = O.build(spark.range(0), "id")
     assert none.merge(a) == a and none.apply(spark.range(9), "id").count() == 0
     assert O.transfer(spark.range(50), "id", spark.range(100), "id", domain=60).count() == 100  # lets too much pass
 
 
+def test_useless_filter(spark):
+    assert O.transfer(spark.range(960), "id", spark.range(1000), "id").count() == 1000  # 96 % would pass
+    assert O.transfer(spark.range(800), "id", spark.range(1000), "id").count() < 850
+
+
+def test_rendering_is_bounded(spark):
+    assert sinks.render(spark.range(5), most=5).count("\n") == 5 and sinks.render(spark.range(9), 2, most=5).count("\n") == 2
+    with pytest.raises(errors.InvalidInput):
+        sinks.render(spark.range(6), most=5)
+    assert len(list(sinks.lines(spark.range(6)))) == 7
+
+
 def test_bloom(spark):
     keys = spark.createDataFrame([(i * 7,) for i in range(1000)] + [(None,)], "k int")
     wide = spark.range(7000).withColumn("s", F.col("id").cast("string"))
