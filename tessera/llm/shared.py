@@ -8,6 +8,7 @@ names; files there are opened through ``pyarrow.fs``, which speaks ``file:``,
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,17 +18,23 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import InvalidInput
+from ..operators.transfer import BITS_PER_KEY, BloomFilter
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only if unset."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only if unset, and
+    then only in local mode, where all tasks share the driver's disk."""
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             root = held.get()
-        else:
+        elif not spark.sparkContext.master.startswith("local-cluster") and spark.sparkContext.master.startswith("local"):
             root = "file://" + tempfile.mkdtemp(prefix="tessera-")
             spark.sparkContext.setCheckpointDir(root)
+        else:
+            raise InvalidInput("set spark.checkpoint.dir to a folder that all executors share")
     if "://" not in root and not root.startswith("file:"):
         root = "file://" + root
     if root.startswith("file:/") and not root.startswith("file://"):
@@ -36,16 +43,43 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    """URI of a new folder below the shared one, not yet created."""
-    return f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    """URI of a new folder below the shared one, not yet created. It goes when
+    the driver ends, if nobody deletes it earlier."""
+    path = f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    if not _folders:
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()  # still there when the session has ended
+        atexit.register(lambda: _delete(jvm, conf, list(_folders)))
+    _folders.add(path)
+    return path
+
+
+_folders: set[str] = set()
+
+
+def _delete(jvm, conf, paths: list[str]) -> None:
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        _folders.discard(path)
+
 
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of staged tables that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession._jvm, t.sparkSession.sparkContext._jsc.hadoopConfiguration(), [t._staged_at])
 
-def bound_batches(spark: SparkSession, rows: int = 500, size: int = 8 << 20) -> None:
-    """Keeps Arrow batches small: at 10,000 rows each, as is the default, a batch
-    of long texts takes more memory than a task has."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+#: Small batches: at 10,000 rows each, as is the default, a batch of long texts
+#: takes more memory than a task has.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session, unless its bounds are lower. They
+    stay, as results are computed when the caller asks for them."""
+    for k, v in _BATCHES.items():
+        if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(k)) <= v:
+            spark.conf.set(k, v)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -54,7 +88,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     bound_batches(df.sparkSession)
     path = fresh_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def sieve(rows: DataFrame, wanted: DataFrame, key: str = "key", max_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
+    """``rows`` that may have their ``key`` in ``wanted`` and those that have not,
+    told apart in generated code by a Bloom filter of at most ``max_bytes``; with
+    more keys it only lets more pass."""
+    n = min(wanted.count(), 8 * max_bytes // BITS_PER_KEY)
+    if not n:
+        return rows.filter(F.lit(False)), rows
+    bloom = BloomFilter.build(wanted, key, n, BITS_PER_KEY, max_bytes)
+    may = F.coalesce(bloom.might_contain(rows, key), F.lit(False))
+    return rows.filter(may), rows.filter(~may)
+
+
+def helper(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for i in range(len(taken) + 1) if (x := f"{name}_{i}").lower() not in taken)
 
 
 def open_fs(uri: str):
