@@ -1,12 +1,17 @@
 """N-gram Jaccard join through a MinHash LSH forest.
 
 A text is the set of its shingles (five words; a shorter text is one shingle).
-Each of ``trees`` prefix tries orders the texts by a sequence of MinHash values;
-two texts meet in a trie as deep as their sequences agree. Matched prefixes are
-shortened from ``max_depth`` on until a pair right at the similarity threshold
-shares one in some trie with the target probability, 1 - (1 - s^d)^trees; pairs
-above the threshold are found with a higher one. Every pair that meets is then
-verified on the exact shingle sets, once: in the first trie that has it.
+Each of ``trees`` prefix tries holds the texts' labels, ``DEPTH`` MinHash values
+of a byte each, as one sorted run: the longest prefix that a label shares with
+its neighbours says in which nodes of the trie it is not alone. The join begins
+with whole labels and shortens the matched prefixes by one value at a time. All
+pairs that meet for the first time, in the first trie that has them, are
+verified on the exact shingle sets. After each step the recall is measured: a
+pair of similarity s had met by depth d with probability p = 1 - (1 - s^d)^trees,
+so the links found so far stand for the sum of their 1 / p. The descent ends
+when the found ones are the target share of that sum, but not before a pair
+right at the threshold has a chance of ``least``; and where p itself is as high
+as the target for every pair above the threshold.
 
 Equal texts count as one. A large trie node is cut into blocks by hash, and
 each pair of blocks is a task of its own that returns link counts and spanning
@@ -19,6 +24,7 @@ Repeated rows are copies. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +35,7 @@ from pyspark.sql import functions as F
 from . import graph, shared
 
 WORDS = 5
+DEPTH = 8  # values of a label
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
@@ -51,47 +58,53 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(out * _STEPS[0])
 
 
-def forest_depth(trees: int, max_depth: int, threshold: float, target: float) -> int:
+def met_chance(similarity: float, depth: int, trees: int) -> float:
+    """The chance that a pair shares ``depth`` values or more in some trie."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def forest_depth(trees: int, threshold: float, target: float) -> int:
     """The longest prefix at which a pair at ``threshold`` meets in some trie
-    with probability ``target`` (0: even single values are too few)."""
-    depth = max_depth
-    while depth and 1 - (1 - threshold**depth) ** trees < target:
-        depth -= 1
-    return depth
+    with probability ``target`` (1 where even that is too long)."""
+    return next((d for d in range(DEPTH, 1, -1) if met_chance(threshold, d, trees) >= target), 1)
 
 
 class Forest:
-    """Prefixes of the MinHash sequences of each trie, as one number per trie."""
+    """The labels of a text: ``DEPTH`` MinHash values for each trie, the first in
+    the highest byte."""
 
-    def __init__(self, trees: int, depth: int, seed: int = 7):
+    def __init__(self, trees: int, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.trees, self.depth = trees, depth
-        self.a = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
+        self.trees = trees
+        self.a = rng.integers(0, 1 << 63, trees * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.b = rng.integers(0, 1 << 63, trees * DEPTH, dtype=np.uint64)
 
-    def prefixes(self, s: np.ndarray) -> np.ndarray:
+    def labels(self, s: np.ndarray) -> np.ndarray:
         least = np.full(len(self.a), ~np.uint64(0), dtype=np.uint64)
-        for i in range(0, len(s), 1024):
-            np.minimum(least, ((s[i : i + 1024, None] ^ self.b) * self.a).min(0), out=least)
-        least = least.reshape(self.trees, self.depth)
-        out = np.arange(1, self.trees + 1, dtype=np.uint64) * _STEPS[1]
-        for k in range(self.depth):
-            out = (out ^ least[:, k] * _STEPS[2]) * _MIX
-            out ^= out >> np.uint64(29)
-        return out.view(np.int64)
+        for i in range(0, len(s), 256):
+            np.minimum(least, ((s[i : i + 256, None] ^ self.b) * self.a).min(0), out=least)
+        values = ((least ^ least >> np.uint64(32)) * _MIX >> np.uint64(56)).reshape(self.trees, DEPTH)
+        return (values << np.arange(8 * (DEPTH - 1), -1, -8, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64)
+
 
+def shared_depth(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading values two labels share."""
+    x = a.view(np.uint64) ^ b.view(np.uint64)
+    return sum(((x >> np.uint64(8 * k)) == 0).astype(np.int8) for k in range(DEPTH))
 
-_SIGNED = pa.schema([("key", pa.binary()), ("prefixes", pa.list_(pa.int64()))])
+
+_SIGNED = pa.schema([("key", pa.binary()), ("size", pa.int32()), ("labels", pa.list_(pa.int64()))])
+_TRIES = pa.schema([("tree", pa.int32()), ("label", pa.int64()), ("key", pa.binary()), ("size", pa.int32()), ("depth", pa.int8())])
 _SETS = pa.schema([("key", pa.binary()), ("shingles", pa.binary())])
 
 
 def signatures(texts: DataFrame, forest: Forest) -> DataFrame:
-    """(key, prefixes) of ``texts`` (key, text); a task skips keys it has seen."""
+    """(key, size, labels) of ``texts`` (key, text); a task skips keys it has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
-            keys, out = [], []
+            keys, sizes, out = [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1)):
                 if key in seen:
                     continue
@@ -100,31 +113,58 @@ def signatures(texts: DataFrame, forest: Forest) -> DataFrame:
                 s = shingles(text.as_py())
                 if len(s):
                     keys.append(key)
-                    out.append(forest.prefixes(s))
+                    sizes.append(len(s))
+                    out.append(forest.labels(s))
             flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
             ends = pa.array(np.arange(len(out) + 1, dtype=np.int32) * forest.trees)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, flat)], schema=_SIGNED)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, flat)], schema=_SIGNED)
+
+    return texts.select("key", "text").mapInArrow(run, "key binary, size int, labels array<long>")
 
-    return texts.select("key", "text").mapInArrow(run, "key binary, prefixes array<long>")
+
+def sorted_tries(signed: DataFrame) -> DataFrame:
+    """(tree, label, key, size, depth): every trie as a sorted run of labels, with
+    the longest prefix that a label shares with a neighbour. At the ends of a
+    partition, where a neighbour is unknown, the depth is the greatest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, np.full(1, DEPTH, dtype=np.int8)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held is not None:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            tree, label = b.column(0).to_numpy(), b.column(1).to_numpy()
+            common = np.where(tree[1:] == tree[:-1], shared_depth(label[1:], label[:-1]), 0).astype(np.int8)
+            depth = np.maximum(np.concatenate((before, common[:-1])), common) if len(common) else common
+            if len(common):
+                yield pa.RecordBatch.from_arrays([*b.slice(0, b.num_rows - 1).columns, pa.array(depth)], schema=_TRIES)
+                before = common[-1:]
+            held = b.slice(b.num_rows - 1)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array([DEPTH], pa.int8())], schema=_TRIES)
+
+    rows = signed.select(F.posexplode("labels").alias("tree", "label"), "key", "size")
+    n = shared.spread(signed.sparkSession, signed, 4 << 20)
+    rows = rows.repartitionByRange(n, "tree", "label", "key").sortWithinPartitions("tree", "label", "key")
+    return rows.mapInArrow(run, "tree int, label long, key binary, size int, depth byte")
 
 
 def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, shingles) for the keys of ``wanted``. A bitmap of fixed size keeps
-    most other texts from being looked at, and only sets are shuffled."""
-    bitmap = texts.sparkSession.sparkContext.broadcast(shared.key_bitmap(wanted))  # 8 MB
+    """(key, shingles) for the keys of ``wanted``. Only texts that pass a Bloom
+    filter of these are looked at, and only sets are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
             keys, out, size = [], [], 0
-            for i in shared.in_bitmap(bitmap.value, b.column(0).to_pylist()).nonzero()[0].tolist():
-                key = b.column(0)[i].as_py()
+            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
                 if key in seen:
                     continue
                 if len(seen) < 500_000:
                     seen.add(key)
                 keys.append(key)
-                out.append(shingles(b.column(1)[i].as_py()).tobytes())
+                out.append(shingles(text.as_py()).tobytes())
                 size += len(out[-1])
                 if size > 4 << 20:
                     yield shared.batch(_SETS, [keys, out])
@@ -132,13 +172,13 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             if keys:
                 yield shared.batch(_SETS, [keys, out])
 
-    sets = texts.select("key", "text").mapInArrow(run, "key binary, shingles binary")
+    sets = shared.sieve(texts.select("key", "text"), wanted)[0].mapInArrow(run, "key binary, shingles binary")
     return sets.join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
 
-def similar(sets: list[np.ndarray], pairs: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of ``pairs`` (rows of two indices) have Jaccard similarity of at
-    least ``threshold``: exact, over the given sets of hashes."""
+def similarity(sets: list[np.ndarray], pairs: np.ndarray, threshold: float) -> np.ndarray:
+    """Jaccard similarity of ``pairs`` (rows of two indices), exact, over the given
+    sets of hashes; 0 where the sizes alone keep it below ``threshold``."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     a, b = pairs[:, 0], pairs[:, 1]
     small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
@@ -169,31 +209,36 @@ def similar(sets: list[np.ndarray], pairs: np.ndarray, threshold: float) -> np.n
             m[owner[lo:hi], column[lo:hi] - at] = 1
             total += m @ m.T
         common = np.rint(total[a, b]).astype(np.int64)
-    # common / union >= threshold, decided like the plain quotient of whole numbers
-    return able & (common / np.maximum(1, sizes[a] + sizes[b] - common) >= threshold)
+    return np.where(able, common / np.maximum(1, sizes[a] + sizes[b] - common), 0.0)
 
 
-_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64())])
+_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64()), ("bin", pa.int32())])
+_BINS = 1000  # of similarity, for the measured recall
 
 
-def _verify_group(keys: list[bytes], sets: list[np.ndarray], prefixes: np.ndarray, parts: np.ndarray, crossing: bool, tree: int, threshold: float, out: list) -> None:
-    """Links of the texts that meet here: rows (a, b, null) that span each
-    linked set, and (a, null, n) with the number of links first met here."""
+def _verify_group(keys: list[bytes], sets: list[np.ndarray], labels: np.ndarray, parts: np.ndarray, crossing: bool, tree: int, depth: int, threshold: float, out: list, bins: Counter) -> None:
+    """Links of the texts that share ``depth`` values in ``tree`` and meet here for
+    the first time: rows (a, b, null) that span each linked set, (a, null, n)
+    with the number of links first met here, and their similarities by bin."""
     i, j = np.triu_indices(len(keys), 1)
     if crossing:  # a pair of blocks: only what crosses
         cross = parts[i] != parts[j]
         i, j = i[cross], j[cross]
-    if tree:
-        fresh = np.ones(len(i), dtype=bool)
-        for t in range(tree):
-            fresh &= prefixes[i, t] != prefixes[j, t]
-        i, j = i[fresh], j[fresh]
+    for t in range(labels.shape[1]):
+        most = depth if t >= tree else depth - 1  # values they may share here
+        if most < DEPTH and len(i):
+            prefix = labels[:, t] >> 8 * (DEPTH - 1 - most)
+            fresh = prefix[i] != prefix[j]
+            i, j = i[fresh], j[fresh]
     if not len(i):
         return
-    ok = similar(sets, np.stack([i, j], 1), threshold)
+    found = similarity(sets, np.stack([i, j], 1), threshold)
+    ok = found >= threshold
     i, j = i[ok], j[ok]
+    for at, n in zip(*(x.tolist() for x in np.unique((found[ok] * _BINS).astype(np.int64), return_counts=True))):
+        bins[at] += n
     for at, n in zip(*(x.tolist() for x in np.unique(np.concatenate([i, j]), return_counts=True))):
-        out.append((keys[at], None, n))
+        out.append((keys[at], None, n, None))
     root = list(range(len(keys)))
 
     def find(x: int) -> int:
@@ -209,52 +254,86 @@ def _verify_group(keys: list[bytes], sets: list[np.ndarray], prefixes: np.ndarra
             root[y] = x
     for x in range(len(keys)):
         if (r := find(x)) != x:
-            out.append((keys[r], keys[x], None))
-
-
-def text_links(texts: DataFrame, threshold: float = 0.8, trees: int = 20, max_depth: int = 8, target: float = 0.9995, block: int = 256) -> DataFrame:
-    """Verified links between different texts of ``texts`` (key, text; equal
-    keys, equal texts): rows (a, b, null) whose graph has the same components as
-    all links, and rows (a, null, n) whose n add up to a's number of links."""
-    forest = Forest(trees, max(1, forest_depth(trees, max_depth, threshold, target)))
-    signed = shared.stage(signatures(texts, forest).dropDuplicates(["key"]), "signatures")
-    met = signed.select("key", F.posexplode("prefixes").alias("tree", "bucket"))
-    # Trie nodes with the same members in several tries are kept in the first.
-    nodes = met.groupBy("bucket").agg(F.min("tree").alias("tree"), F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("members")).filter("n > 1")
-    nodes = shared.stage(nodes.groupBy("n", "members").agg(F.min_by("bucket", "tree").alias("bucket"), F.min("tree").alias("tree")).drop("members"), "nodes")
-    held = shared.stage(met.drop("tree").join(nodes, "bucket"), "members")
-    wanted = shared.stage(held.select("key").distinct(), "wanted")
-    sets = shared.stage(shingle_sets(texts, wanted), "shingles").join(signed, "key")
-    # Blocks of a large node: up to 8, then as many as hold 1024 texts each.
-    blocks = F.ceil(F.col("n") / F.greatest(F.lit(block), F.least(F.lit(1024), F.ceil(F.col("n") / 8)))).cast("int")
-    part = F.pmod(F.xxhash64("bucket", "key"), F.col("blocks")).cast("int")
-    dealt = held.withColumn("blocks", blocks).withColumn("part", part).select("key", "bucket", "tree", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", "bucket", "tree", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    rows = dealt.join(sets, "key")
-    n = shared.spread(texts.sparkSession, held, 256 << 10)
-    rows = rows.repartition(2 * n, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").select("bucket", "p", "q", "tree", "part", "key", "shingles", "prefixes")
+            out.append((keys[r], keys[x], None, None))
+
+
+def _links_at(depth: int, tries: DataFrame, done: DataFrame | None, sets: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """The links (a, b, n, bin) of pairs that first meet at ``depth``, and the nodes
+    that were looked at. ``done``: nodes of greater depth; one with the same
+    members has nothing new."""
+    spark = tries.sparkSession
+    met = tries.filter(F.col("depth") >= depth).select("tree", F.shiftrightunsigned("label", 8 * (DEPTH - depth)).alias("prefix"), "key", "size")
+    nodes = met.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("shingles"), F.bit_xor(F.xxhash64("key")).alias("members")).filter("n > 1")
+    # Nodes with the same members in several tries are kept in the first.
+    nodes = nodes.groupBy("n", "members", "shingles").agg(F.min(F.struct("tree", "prefix")).alias("at"))
+    if done is not None:
+        nodes = nodes.join(done.select("n", "members"), ["n", "members"], "left_anti")
+    nodes = shared.stage(nodes.select("at.tree", "at.prefix", "n", "members", "shingles"), "nodes")
+    # Blocks of a large node: up to 8, then as many as hold 1024 texts or 8 MB of sets each.
+    blocks = F.ceil(F.greatest(F.col("n") / F.greatest(F.lit(block), F.least(F.lit(1024), F.ceil(F.col("n") / 8))), F.col("shingles") / (1 << 20))).cast("int")
+    part = F.pmod(F.xxhash64("tree", "prefix", "key"), F.col("blocks")).cast("int")
+    held = met.drop("size").join(nodes.select("tree", "prefix", blocks.alias("blocks")), ["tree", "prefix"])
+    dealt = held.withColumn("part", part).select("key", "tree", "prefix", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = shared.stage(dealt.select("key", "tree", "prefix", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")), "dealt")
+    n = shared.spread(spark, dealt, 256 << 10)
+    rows = dealt.join(sets, "key").repartition(2 * n, "tree", "prefix", "p", "q").sortWithinPartitions("tree", "prefix", "p", "q").select("tree", "prefix", "p", "q", "part", "key", "shingles", "labels")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group, out = None, [], []
+        now, group, out, bins = None, [], [], Counter()
 
         def finish() -> None:
             if len(group) > 1:
-                _verify_group([r[2] for r in group], [r[3] for r in group], np.stack([r[4] for r in group]), np.array([r[1] for r in group]), now[1] != now[2], group[0][0], threshold, out)
+                _verify_group([r[1] for r in group], [r[2] for r in group], np.stack([r[3] for r in group]).view(np.uint64), np.array([r[0] for r in group]), now[2] != now[3], now[0], depth, threshold, out, bins)
 
         for b in batches:
-            for bucket, p, q, tree, part, key, raw, prefixes in zip(*(c.to_pylist() for c in b.columns[:7]), b.column(7)):
-                if (bucket, p, q) != now:
+            for tree, prefix, p, q, part, key, raw, labels in zip(*(c.to_pylist() for c in b.columns[:7]), b.column(7)):
+                if (tree, prefix, p, q) != now:
                     finish()
-                    now, group = (bucket, p, q), []
-                group.append((tree, part, key, np.frombuffer(raw, dtype=np.uint64), prefixes.values.to_numpy()))
+                    now, group = (tree, prefix, p, q), []
+                group.append((part, key, np.frombuffer(raw, dtype=np.uint64), labels.values.to_numpy()))
             if len(out) > 5000:
                 yield shared.batch(_LINKS, list(zip(*out)))
                 out.clear()
         finish()
+        out += [(None, None, n, at) for at, n in bins.items()]
         if out:
             yield shared.batch(_LINKS, list(zip(*out)))
 
-    return shared.stage(rows.mapInArrow(run, "a binary, b binary, n long"), "links")
+    links = shared.stage(rows.mapInArrow(run, "a binary, b binary, n long, bin int"), "links")
+    shared.release(dealt)
+    return links, nodes
+
+
+def text_links(texts: DataFrame, threshold: float = 0.8, trees: int = 20, target: float = 0.9995, least: float = 0.99, block: int = 256) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """Verified links between different texts of ``texts`` (key, text; equal
+    keys, equal texts): rows (a, b, null) whose graph has the same components as
+    all links, and rows (a, null, n) whose n add up to a's number of links.
+    Besides, the depths of the descent and the recall measured at each."""
+    signed = shared.stage(signatures(texts, Forest(trees)).dropDuplicates(["key"]), "signatures")
+    tries = shared.stage(sorted_tries(signed), "tries")
+    last = forest_depth(trees, threshold, target)
+    wanted = shared.stage(tries.filter(F.col("depth") >= last).select("key").distinct(), "wanted")
+    sets = shared.stage(shingle_sets(texts, wanted).join(signed.select("key", "labels"), "key"), "shingles")
+    links, nodes, bins, steps = [], [], Counter(), []
+    for depth in range(DEPTH, last - 1, -1):
+        done = None
+        for x in nodes:
+            done = x if done is None else done.union(x)
+        found, looked = _links_at(depth, tries, done, sets, threshold, block)
+        links.append(found)
+        nodes.append(looked)
+        for at, n in found.filter("bin IS NOT NULL").groupBy("bin").agg(F.sum("n")).collect():  # at most _BINS rows
+            bins[at] += n
+        total = sum(n / met_chance(max(threshold, at / _BINS), depth, trees) for at, n in bins.items())
+        steps.append((depth, sum(bins.values()) / total if total else 1.0))
+        if steps[-1][1] >= target and met_chance(threshold, depth, trees) >= least:
+            break
+    out = links[0]
+    for x in links[1:]:
+        out = out.union(x)
+    out = shared.stage(out.filter("bin IS NULL").drop("bin"), "links")
+    shared.release(signed, tries, wanted, sets, *nodes, *links)
+    return out, steps
 
 
 def classes(docs: DataFrame, rid: str | None = None, **options) -> DataFrame:
@@ -267,7 +346,7 @@ def classes(docs: DataFrame, rid: str | None = None, **options) -> DataFrame:
     rid = F.monotonically_increasing_id().alias("rid") if rid is None else F.col(rid).alias("rid")
     texts = docs.select(shared.text_key().alias("key"), F.col("text").cast("string").alias("text"))
     rows = shared.stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), rid, shared.text_key().alias("key")), "rows")
-    links = text_links(texts, **options)
+    links, _ = text_links(texts, **options)
     counts = links.filter("n IS NOT NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
     labels = graph.components(links.filter("b IS NOT NULL")).select(F.col("node").alias("key"), "label")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
