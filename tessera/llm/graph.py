@@ -22,8 +22,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # A label is a node too: follow it one step.
         roots = labels.select(F.col("node").alias("r"), F.col("label").alias("root"))
         jumped = closer.join(roots, F.col("label") == F.col("r"), "left").select("node", "old", F.least("label", "root").alias("label"))
-        labels = shared.stage(jumped, "labels")
+        before, labels = labels, shared.stage(jumped, "labels")
+        shared.release(before)
         if labels.filter("old <> label").isEmpty():
+            shared.release(both)
             return labels.select("node", "label")
-        labels = labels.select("node", "label")
     raise RuntimeError("components did not settle")

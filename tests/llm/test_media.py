@@ -170,12 +170,46 @@ def test_tree_covers():
     def check(n):
         p = points(n)
         assert np.sqrt(((x[p] - n.center) ** 2).sum(1)).max() <= n.radius + 1e-9
-        for c in n.children or ():
+        reach = n.radius / 1.5
+        for i, c in enumerate(n.children or ()):
+            assert c.radius <= reach + 1e-9
+            assert all(np.sqrt(((c.center - d.center) ** 2).sum()) > reach for d in n.children[:i])
             check(c)
 
-    root = covertree.build(x)
-    assert sorted(points(root).tolist()) == list(range(500))
-    check(root)
+    for x in (x, np.repeat(rng.normal(size=(25, 40)) * 1000, 20, axis=0) + rng.normal(size=(500, 40)), rng.normal(size=(500, 64))):
+        root = covertree.build(x, leaf=16)
+        assert sorted(points(root).tolist()) == list(range(500))
+        check(root)
+
+
+def test_pairs_of_nodes_are_dropped():
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(40, 16)) * 900
+    x = np.floor(np.repeat(centers, 200, axis=0) + rng.normal(size=(8000, 16)))
+    q = np.floor(np.repeat(centers[:8], 10, axis=0) + rng.normal(size=(80, 16)))
+    s = covertree.Search(q, np.arange(80) + 10_000, x, np.arange(8000), 10)
+    looked, leaf = [], s._leaf
+    s._leaf = lambda a, b: (looked.append(len(a) * len(b)), leaf(a, b))
+    s.run(covertree.build(q, leaf=16), covertree.build(x))
+    want = np.sort(q @ x.T, axis=1)[:, ::-1][:, :10]
+    assert (s.scores == want).all() and sum(looked) < 0.2 * 80 * 8000
+
+
+def test_cells_are_dropped_before_the_shuffle(spark):
+    rng = np.random.default_rng(5)
+    centers = np.eye(8) * 4
+    rows = [(i, (centers[i % 8] + rng.normal(size=8) / 50).tolist()) for i in range(16_400)]
+    v = covertree.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for r in covertree.top_k(v.filter("vec_id % 400 = 0"), v, sample_rows=400).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
+    x = np.floor(np.array([e for _, e in rows]) * 1024)
+    for qid, best in got.items():
+        scores = x @ x[qid]
+        scores[qid] = -np.inf
+        want = np.lexsort((np.arange(len(x)), -scores))[:10]
+        assert sorted(best) == [(n + 1, scores[i], i) for n, i in enumerate(want.tolist())]
+    assert len(got) == 41
 
 
 def test_whole_numbers_beyond_doubles():
@@ -188,13 +222,13 @@ def test_whole_numbers_beyond_doubles():
 def test_top_k(spark):
     rng = random.Random(2)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(400)]
-    rows += [(400, None), (500, [1.0, None, 1.0, 1.0, 1.0]), (600, [float("nan")] * 5), (700, [float("inf")] * 5), (None, [1.0] * 5), (800, [1.0, 2.0]), (801, [0.5, 0.5]), (900, []), (5, rows[6][1]), (300, rows[300][1])]
+    rows += [(400, None), (500, [1.0, None, 1.0, 1.0, 1.0]), (600, [float("nan")] * 5), (700, [float("inf")] * 5), (None, [1.0] * 5), (800, [1.0, 2.0]), (801, [0.5, 0.5]), (900, []), (901, []), (5, rows[6][1]), (300, rows[300][1])]
     df = spark.createDataFrame([(*r, 1, "clash") for r in rows], "vec_id long, embedding array<float>, label int, qb string")
     v = covertree.vectors(df)
     got = {}
     for r in covertree.top_k(v.filter("vec_id % 100 = 0"), v, block_rows=64, query_rows=3).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
-    f = lambda e: None if not e or any(c is None or not np.isfinite(c) for c in e) else [int(np.floor(1024 * float(np.float32(c)))) for c in e]
+    f = lambda e: None if e is None or any(c is None or not np.isfinite(c) for c in e) else [int(np.floor(1024 * float(np.float32(c)))) for c in e]
     vectors = [(i, f(e)) for i, e in rows if i is not None]
     want = {}
     for (_, qid), best in brute(vectors, [x for x in vectors if x[0] % 100 == 0], 10).items():
