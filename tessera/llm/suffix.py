@@ -424,8 +424,15 @@ def _by_digest(bodies: DataFrame, unit: Unit) -> DataFrame:
     n = 2 * shared.spread(bodies.sparkSession, bodies, 8 << 20)
     strings = bodies.repartition(n, "fp", "dig").mapInArrow(run, "a long, b long, fp long, dig long, len int, at int")
     strings = shared.stage(strings, "strings")
-    again = strings.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return strings.join(again, ["a", "b"], "left_semi").select("fp", "dig", "len", F.col("at").alias("lo"), (F.col("at") + width).cast("int").alias("hi"))
+    again = shared.stage(strings.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "again")
+    starts = strings.join(again, ["a", "b"], "left_semi").groupBy("fp", "dig", "len").agg(F.collect_list("at").alias("at"))  # of one segment
+
+    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(fp, dig, n, lo, hi) for fp, dig, n, at in zip(*(c.to_pylist() for c in b.columns)) for lo, hi in runs(np.sort(at), width)]
+            yield shared.batch(_COVERS, list(zip(*rows)) or [[]] * len(_COVERS))
+
+    return starts.mapInArrow(join_up, "fp long, dig long, len int, lo int, hi int")
 
 
 def covered(texts: DataFrame, unit: Unit, batch_bytes: int = 1 << 19, hash_bytes: int = 3 << 20) -> DataFrame:
