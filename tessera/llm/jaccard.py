@@ -304,7 +304,7 @@ def _links_at(depth: int, tries: DataFrame, done: DataFrame | None, sets: DataFr
     return links, nodes
 
 
-def text_links(texts: DataFrame, threshold: float = 0.8, trees: int = 20, target: float = 0.9995, least: float = 0.99, block: int = 256) -> tuple[DataFrame, list[tuple[int, float]]]:
+def text_links(texts: DataFrame, threshold: float = 0.8, trees: int = 20, target: float = 0.9995, least: float = 0.99, block: int = 512) -> tuple[DataFrame, list[tuple[int, float]]]:
     """Verified links between different texts of ``texts`` (key, text; equal
     keys, equal texts): rows (a, b, null) whose graph has the same components as
     all links, and rows (a, null, n) whose n add up to a's number of links.
