@@ -149,6 +149,47 @@ def test_scan_rewrite(spark, tmp_path, sf_dir):
     assert stem("/a/2024-x.parquet") == "_2024_x"
 
 
+_NOT_IN = "WITH a AS (SELECT * FROM (VALUES (1, 1), (2, 2), (NULL, 3), (4, NULL)) AS v(x, k)), b AS (SELECT * FROM (VALUES (2, 1), (3, 2)) AS v(y, j)), n AS (SELECT * FROM (VALUES (2, 1), (NULL, 2)) AS v(y, j)), e AS (SELECT * FROM b WHERE y > 9) "
+
+
+@pytest.mark.parametrize("sub", "bne")
+@pytest.mark.parametrize(
+    "where",
+    [
+        "x NOT IN (SELECT y FROM s)",
+        "NOT x IN (SELECT y FROM s)",
+        "NOT (x IN (SELECT y FROM s))",
+        "NOT (x NOT IN (SELECT y FROM s))",
+        "k = 1 OR x NOT IN (SELECT y FROM s)",
+        "k BETWEEN 1 AND 3 AND (x NOT IN (SELECT y FROM s) AND x NOT IN (SELECT j FROM s))",
+        "x + 1 NOT IN (SELECT y FROM s WHERE j = k)",
+        "x NOT IN (SELECT y FROM s WHERE j < k)",
+        "x NOT IN (SELECT max(y) FROM s WHERE j = k)",
+        "x NOT IN (SELECT max(y) FROM s GROUP BY j)",
+        "x NOT IN (SELECT y FROM s WHERE y NOT IN (SELECT x FROM a WHERE k = 1))",
+        "(x, k) NOT IN (SELECT y, j FROM s)",
+    ],
+)
+def test_not_in(spark, where, sub):
+    import duckdb
+
+    text = f"{_NOT_IN}SELECT x, k FROM a WHERE {where}".replace("FROM s", f"FROM {sub}")
+    assert rows(Engine(spark).sql(text)) == sorted(duckdb.sql(text).fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("name", ["join_anti_not_in", "tpch_q16"])
+def test_not_in_sends_no_table_to_all(spark, sf_dir, name):
+    from tessera.plans import suite
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = suite.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "LeftAnti" in plan and "Broadcast" not in plan
+
+
 def test_engine_files(spark, tmp_path, sf_dir):
     e = Engine(spark)
     e.write(f"SELECT n_regionkey, count(*) AS n FROM '{sf_dir}/nation.parquet' GROUP BY n_regionkey", str(tmp_path / "o.csv"), "csv", header=True)
