@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import session
+from . import session, theta
 from .errors import InvalidInput, engine_errors
 from .functions.dialect import to_spark
 from .sources import scan, sinks
@@ -40,10 +40,11 @@ class Engine:
             return to_spark(scan.rewrite(sql, self.catalog))
 
     def sql(self, sql: str) -> DataFrame:
-        """The query's result: planned by Catalyst, not yet run."""
+        """The query's result: planned by Catalyst, not yet run. Bounds and counts
+        of a theta join are read first."""
         text = self.translate(sql)
         with engine_errors():
-            return self.spark.sql(text)
+            return self.spark.sql(theta.rewrite(scan.rewrite(sql, self.catalog), self.catalog) or text)
 
     def explain(self, sql: str, mode: str = "formatted") -> str:
         """The plan, without running anything."""

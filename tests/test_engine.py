@@ -221,6 +221,62 @@ def test_join_kinds(pair):
         O.join(a, b, [("k", "j")], "asof")
 
 
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
+@pytest.mark.parametrize("kinds, block, cell_rows", [(("double", "double"), 1, 5), (("double", "double"), 1024, 50_000), (("int", "double"), 7, 20), (("bigint", "int"), 7, 5)])
+def test_theta_join(spark, monkeypatch, op, kinds, block, cell_rows):
+    import operator
+    import random
+
+    from tessera.operators import joins
+
+    monkeypatch.setattr(joins, "CELL_ROWS", cell_rows)
+    rnd = random.Random(repr((op, kinds, block)))
+
+    def value(kind):
+        if rnd.random() < 0.1:
+            return None
+        return rnd.choice([-0.0, 0.0, float("nan"), rnd.randrange(60) / 2]) if kind == "double" else rnd.randrange(30)
+
+    a, b = ([(i, value(kind)) for i in range(n)] for kind, n in zip(kinds, (90, 130)))
+    left, right = spark.createDataFrame(a, f"i int, x {kinds[0]}"), spark.createDataFrame(b, f"i int, y {kinds[1]}")
+    of = lambda v: (v != v, 0 if v != v else v)  # NaN is above all and equal to itself
+    test = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}[op]
+    got = O.theta_join(left, right, left["x"], op, right["y"], block)
+    assert got.columns == ["i", "x", "i", "y"]
+    assert sorted((r[0], r[2]) for r in got.collect()) == [(p, q) for p, x in a for q, y in b if None not in (x, y) and test(of(x), of(y))]
+    assert O.theta_join(left.filter("i < 0"), right, left["x"], op, right["y"]).count() == 0
+
+
+THETA = [
+    "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_acctbal > c_acctbal + 3000",
+    "SELECT * FROM supplier INNER JOIN customer ON (c_acctbal + 5000 <= s_acctbal) WHERE s_nationkey > 3 AND c_mktsegment <> 'it''s'",
+    "SELECT count(*) AS n, max(c_name) AS m FROM supplier JOIN customer ON s_acctbal < c_acctbal AND c_nationkey <> s_nationkey AND c_nationkey BETWEEN 3 AND 15 WHERE s_suppkey > 3 OR c_custkey < 10",
+    "SELECT s_nationkey, count(*) AS n FROM supplier JOIN customer ON c_custkey >= s_suppkey * 2 GROUP BY s_nationkey HAVING count(*) > 3 ORDER BY n DESC, s_nationkey LIMIT 3;",
+]
+NO_THETA = [
+    "SELECT s_suppkey FROM supplier JOIN customer ON s_acctbal > c_acctbal + 3000 OR s_suppkey = c_custkey",
+    "SELECT s_suppkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_acctbal > c_acctbal",
+    "SELECT s_suppkey FROM supplier LEFT JOIN customer ON s_acctbal > c_acctbal + 3000",
+    "SELECT s_suppkey FROM supplier JOIN customer ON s_name > c_name",
+    "SELECT s_suppkey FROM supplier JOIN nation ON s_acctbal > n_nationkey JOIN region ON TRUE",
+    "WITH customer AS (SELECT 1 AS c_acctbal) SELECT s_suppkey FROM supplier JOIN customer ON s_acctbal > c_acctbal",
+]
+
+
+@pytest.mark.parametrize("text", THETA + NO_THETA)
+def test_theta_join_in_sql(spark, sf_dir, text):
+    import duckdb
+
+    e, con = Engine(spark), duckdb.connect()
+    for t in ("supplier", "customer", "nation", "region"):
+        e.register(t, f"{sf_dir}/{t}.parquet")
+        con.sql(f"CREATE VIEW {t} AS FROM '{sf_dir}/{t}.parquet'")
+    got, want = e.sql(text), con.sql(text)
+    assert rows(got) == sorted(want.fetchall(), key=repr) and got.columns == want.columns and got.count()
+    nested = "NestedLoop" in got._jdf.queryExecution().executedPlan().toString()
+    assert not nested if text in THETA else True
+
+
 def test_single_join_refuses_two(spark, pair):
     a, b = pair
     twice = b.union(spark.createDataFrame([(2, "z")], "j int, w string"))
