@@ -142,7 +142,8 @@ def _above(a: DataFrame, b: DataFrame, kind: DataType, op: str, block: int) -> D
         counts[row["__side"]][row["__cell"]] = row["count"]
     below = [[0, *accumulate(c)] for c in counts]
     n_a, pairs = below[0][-1], sum(n * top for n, top in zip(counts[0], below[1][1:]))
-    before = Window.partitionBy("__cell").orderBy("__v", F.col("__side") if strict else F.col("__side").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tie = F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t and "variant" not in t])  # the same ranks if a task runs again
+    before = Window.partitionBy("__cell").orderBy("__v", F.col("__side") if strict else F.col("__side").desc(), tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rank = lambda side: (F.sum((F.col("__side") == side).cast("long")).over(before) + F.get(F.lit(below[side]).cast("array<bigint>"), F.col("__cell"))).alias(("__a", "__b")[side])
     ranked = rows.select("*", rank(0), rank(1))  # rows of a and of b up to this one
 
